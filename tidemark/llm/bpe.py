@@ -266,10 +266,10 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
     return rows.select(*(f.name for f in keep)).mapInArrow(run, StructType([*keep, StructField(out, StringType())]))
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 for every row: encoded, then decoded from the ids.
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """id, n_tokens, ids_sha256, decoded_sha256 for every row, encoded, then decoded from the ids; the ids if wanted.
 
-    The ids and the decoded texts of a batch live only within its task, so nothing larger than a row of digests moves.
+    Decoded texts live only within their task, as do the ids unless they are wanted.
     Defined cases: a null text is empty and has no tokens; a null id stays null; repeated rows give repeated results;
     other columns are ignored; an empty table gives no rows; texts may have any length and any characters.
     """
@@ -281,13 +281,15 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "tex
         bpe = loaded(Bpe, spec.value)
         for b in batches:
             texts = b.column("text").to_pylist()
-            n, ids_sha, text_sha = [], [], []
             for i, j in slices(texts):
-                for ids in bpe.encode_batch(texts[i:j]):
-                    n.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                found = bpe.encode_batch(texts[i:j])
+                columns = [b.column("id").slice(i, j - i), pa.array([len(ids) // 4 for ids in found], pa.int64())]
+                columns.append(pa.array([hashlib.sha256(ids).hexdigest() for ids in found], pa.string()))
+                columns.append(pa.array([hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in found], pa.string()))
+                columns += [pa.array(found, pa.binary())] * with_ids
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.selectExpr(f"`{id_col}` as id", f"`{text}` as text").mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    return docs.selectExpr(f"`{id_col}` as id", f"`{text}` as text").mapInArrow(run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, html, mixing, pivots, secrets, simhash, token_files, topk, warc
+from tidemark.llm import bpe, crf, html, mixing, pivots, secrets, simhash, token_files, topk, warc
 from tidemark.llm.common import table
 from tidemark.session import prepare
 
@@ -37,6 +37,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_pivots, op2_html, op3_mixing, op4_topk, op5_simhash, op7_secrets, op8_token_files, op9_bpe, op10_warc]
+    own = [op1_pivots, op2_html, op3_mixing, op4_topk, op5_simhash, op6_quality, op7_secrets, op8_token_files, op9_bpe, op10_warc]
     return {f.__name__: (lambda spark, sf_dir, f=f: f(prepare(spark), sf_dir)) for f in own}
 
 
