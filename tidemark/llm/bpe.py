@@ -10,14 +10,15 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Texts of these characters alone need no normalisation but lower case, and split into words at white space.
-PLAIN = r"[\t-\r -~\x85\xa0-ɏ]*"
+#: Texts of these characters alone need no normalisation but lower case, and split into words at white space. (The
+#: capital I with a dot is left out: in lower case it is two characters.)
+PLAIN = r"[\t-\r -~\xa0-įı-ɏ]*"
 #: Words that a Python worker remembers, and words that are encoded together.
-REMEMBERED, TOGETHER = 500_000, 200_000
+REMEMBERED, TOGETHER = 1_000_000, 200_000
 #: The split pattern and the normalisation that this encoder knows (fixed values of the tokenizer files).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -29,6 +30,59 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+def lay(ids, start, size):
+    """The stretches ids[start : start + size] in a row."""
+    import numpy as np
+
+    end = np.cumsum(size)
+    total = int(end[-1]) if len(end) else 0
+    return ids[np.repeat(start - (end - size), size) + np.arange(total)]
+
+
+class Words:
+    """The ids of the words of earlier batches; those of the last one alone once there are too many."""
+
+    def __init__(self):
+        import numpy as np
+        import pyarrow as pa
+
+        # The empty word stands before and behind the white space at the ends of a text.
+        self.known, self.size, self.ids = pa.array([""]), np.zeros(1, np.int64), np.zeros(0, "<u4")
+
+    def join(self, texts: list[str], learn: Callable) -> list[bytes]:
+        """The ids of each plain text. learn takes an array of words and gives the number of ids of each, and all ids.
+
+        Words stay in Arrow and ids in numpy: a text's ids are laid out by the numbers of its words.
+        """
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not texts:
+            return []
+        split = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+        coded = split.flatten().dictionary_encode()
+        words, place = coded.dictionary, np.asarray(coded.indices)
+        at = pc.index_in(words, value_set=self.known)
+        lost = words.filter(pc.is_null(at))
+        if len(lost):
+            size, ids = learn(lost)
+            if len(self.known) + len(lost) > REMEMBERED:
+                old = np.asarray(at.drop_null())
+                start = np.cumsum(self.size) - self.size
+                kept = self.known.take(pa.array(old))
+                self.ids, self.size, self.known = lay(self.ids, start[old], self.size[old]), self.size[old], kept
+            self.known = pa.concat_arrays([self.known, lost])
+            self.size, self.ids = np.append(self.size, size), np.append(self.ids, ids)
+            at = pc.index_in(words, value_set=self.known)
+        number = np.asarray(at)[place]
+        start = np.cumsum(self.size) - self.size
+        size = self.size[number]
+        data = lay(self.ids, start[number], size).tobytes()
+        cut = (np.append(0, np.cumsum(size))[np.asarray(split.offsets) - split.offsets[0].as_py()] * 4).tolist()
+        return [data[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+
+
 class Bpe:
     """One tokenizer file of the kind `word_bpe_49k.json`, without its truncation and padding."""
 
@@ -69,8 +123,7 @@ class Bpe:
         self.split_odd = Split(Regex(SPLIT), "removed", invert=True).pre_tokenize_str
         self.plain = regex.compile(PLAIN).fullmatch
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words = Words()
 
     def _ranks(self, left, right):
         """The merge rank of every pair, -1 without one."""
@@ -140,11 +193,12 @@ class Bpe:
         stop = np.cumsum(alive)[last] * 4
         return [ids[i:j] for i, j in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        fresh = [p for p in dict.fromkeys(pieces) if p not in self.pieces]
-        for at in range(0, len(fresh), TOGETHER):
-            some = fresh[at : at + TOGETHER]
-            self.pieces.update(zip(some, self.merge([p.encode() for p in some]), strict=True))
+    def _learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        pieces, out = list(pieces), {}
+        for at in range(0, len(pieces), TOGETHER):
+            some = pieces[at : at + TOGETHER]
+            out.update(zip(some, self.merge([p.encode() for p in some]), strict=True))
+        return out
 
     def _odd(self, text: str) -> list[str | int]:
         """The pieces of a text of any characters, special tokens as ids."""
@@ -160,29 +214,23 @@ class Bpe:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null text has none."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
+        import pyarrow.compute as pc
+
         texts = [t or "" for t in texts]
         plain = [bool(self.plain(t)) and not (self.specials and self.specials.search(t)) for t in texts]
-        parts = [t.split() if p else self._odd(t) for t, p in zip(texts, plain, strict=True)]
-        fresh: dict[str, list[str]] = {}
-        pieces: set[str] = set()
-        for ws, p in zip(parts, plain, strict=True):
-            if p:
-                for w in ws:
-                    if w not in self.words and w not in fresh:
-                        fresh[w] = self.split.findall(w.lower())
-                        pieces.update(fresh[w])
-            else:
-                pieces.update(x for x in ws if isinstance(x, str))
-        self._learn(pieces)
-        known = self.pieces
-        for w, ps in fresh.items():
-            self.words[w] = known[ps[0]] if len(ps) == 1 else b"".join([known[x] for x in ps])
-        word = self.words.__getitem__
-        return [b"".join(map(word, ws)) if p else b"".join([known[x] if isinstance(x, str) else x.to_bytes(4, "little") for x in ws]) for ws, p in zip(parts, plain, strict=True)]
+        parts = [None if p else self._odd(t) for t, p in zip(texts, plain, strict=True)]
+        odd = self._learn({x for ws in parts if ws for x in ws if isinstance(x, str)})
+
+        def learn(words):
+            import numpy as np
+
+            split = [self.split.findall(w) for w in pc.utf8_lower(words).to_pylist()]
+            known = self._learn({x for ps in split for x in ps})
+            ids = [known[ps[0]] if len(ps) == 1 else b"".join([known[x] for x in ps]) for ps in split]
+            return np.array([len(x) // 4 for x in ids], np.int64), np.frombuffer(b"".join(ids), "<u4")
+
+        easy = iter(self.words.join([t for t, p in zip(texts, plain, strict=True) if p], learn))
+        return [next(easy) if ws is None else b"".join([odd[x] if isinstance(x, str) else x.to_bytes(4, "little") for x in ws]) for ws in parts]
 
     def decode(self, ids: bytes) -> bytes:
         """The text of the ids in UTF-8, special tokens included; unknown ids are left out.
@@ -216,7 +264,7 @@ def read_spec(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def slices(texts: list, chars: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list, chars: int = 16_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about so many characters in all, at least one text each."""
     start = total = 0
     for i, t in enumerate(texts):

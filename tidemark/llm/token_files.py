@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.llm.bpe import PLAIN, loaded, read_spec, slices
+from tidemark.llm.bpe import PLAIN, SPLIT, Words, lay, loaded, read_spec, slices
 from tidemark.llm.common import work_dir
 
 MAGIC = b"TMB1"
@@ -21,6 +21,10 @@ HEADER = struct.Struct("<4sIIQQQ")
 #: Ids in a block, and about how many a file holds.
 BLOCK, FILE = 1 << 14, 1 << 20
 END = 2
+#: Marks that often follow a word; each is a piece of its own behind letters.
+MARKS = ".,;:!?"
+#: Words that the library is asked for at a time, and about how many characters are encoded together.
+TOGETHER, CHARS = 500, 24_000_000
 
 
 def width(vocabulary: int) -> int:
@@ -98,49 +102,72 @@ class Library:
     those of its words in a row. Other texts go to the library whole.
     """
 
-    REMEMBERED = 500_000
-
     def __init__(self, spec: bytes):
+        import json
+
+        import numpy as np
         import regex
         from tokenizers import Tokenizer
 
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+        if not suffix:
+            raise ValueError("a tokenizer without word ends")
         self.tokenizer = Tokenizer.from_str(spec.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.bare = Tokenizer.from_str(self.tokenizer.to_str())
+        self.bare.normalizer = None
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.plain = regex.compile(PLAIN).fullmatch
         special = [regex.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(special)).search if special else lambda text: None
-        #: A word that no plain text holds, and the one id that it has: it parts the words that are asked together.
-        self.mark = self._whole("\x01")
-        self.words: dict[str, bytes] = {}
+        #: Whether a token is the last of a word, by id; the split pattern says how many words a plain one has.
+        self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.size)])
+        self.split = regex.compile(SPLIT).findall
+        self.words = Words()
 
     def _whole(self, text: str) -> bytes:
         import numpy as np
 
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _ask(self, words: list[str]) -> None:
-        import numpy as np
+    def _learn(self, words):
+        """The number of ids of each plain word, and all ids.
 
-        ids = np.frombuffer(self._whole(" \x01 ".join(words)), "<u4")
-        cut = np.flatnonzero(ids == np.frombuffer(self.mark, "<u4")[0])
-        data = ids.tobytes()
-        starts, stops = [0, *((cut + 1) * 4).tolist()], [*(cut * 4).tolist(), len(data)]
-        self.words.update(zip(words, [data[i:j] for i, j in zip(starts, stops, strict=True)], strict=True))
+        Lower case is all that normalising does to plain words. Letters, and the marks behind them, are pieces of their
+        own: each distinct one is asked for once, and the pieces found are told apart by their last tokens.
+        """
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lower = pc.utf8_lower(words)
+        parts = pc.extract_regex(lower, f"^(?P<core>.*?)(?P<marks>[{MARKS}]*)$")
+        letters = pc.utf8_is_alpha(pc.struct_field(parts, "core"))
+        core = pc.if_else(letters, pc.struct_field(parts, "core"), lower)
+        marks = pc.if_else(letters, pc.struct_field(parts, "marks"), "")
+        coded = pa.concat_arrays([core, marks]).dictionary_encode()
+        asked, place = coded.dictionary, np.asarray(coded.indices).reshape(2, -1).T.ravel()
+        pieces = np.ones(len(asked), np.int64)
+        odd = np.flatnonzero(~np.asarray(pc.utf8_is_alpha(asked)))
+        pieces[odd] = [len(self.split(w)) for w in asked.take(pa.array(odd)).to_pylist()]
+        ids, sizes = [], []
+        for k in range(0, len(asked), TOGETHER):
+            some = pieces[k : k + TOGETHER]
+            text = pc.binary_join(pa.ListArray.from_arrays([0, len(some)], asked.slice(k, len(some))), " ")[0].as_py()
+            found = np.array(self.bare.encode(text, add_special_tokens=False).ids, "<u4")
+            ends = np.append(0, np.flatnonzero(self.last[found]) + 1)
+            sizes.append(np.diff(ends[np.append(0, np.cumsum(some))]))
+            ids.append(found)
+        size = np.concatenate(sizes)
+        start = np.cumsum(size) - size
+        return size[place].reshape(-1, 2).sum(1), lay(np.concatenate(ids), start[place], size[place])
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.words) > self.REMEMBERED:
-            self.words.clear()
-        parts: list = []
-        for t in texts:
-            t = t or ""
-            parts.append(t.split() if self.plain(t) and not self.special(t) else t)
-        fresh = list(dict.fromkeys(w for ws in parts if isinstance(ws, list) for w in ws if w not in self.words))
-        for i in range(0, len(fresh), 2000):
-            self._ask(fresh[i : i + 2000])
-        word = self.words.__getitem__
-        return [b"".join(map(word, ws)) if isinstance(ws, list) else self._whole(ws) for ws in parts]
+        texts = [t or "" for t in texts]
+        plain = [bool(self.plain(t)) and not self.special(t) for t in texts]
+        easy = iter(self.words.join([t for t, p in zip(texts, plain, strict=True) if p], self._learn))
+        return [next(easy) if p else self._whole(t) for t, p in zip(texts, plain, strict=True)]
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text: str = "text", end: int = END) -> None:
@@ -166,7 +193,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
 
         for b in batches:
             names_of, texts = b.column("id").to_pylist(), b.column("text").to_pylist()
-            for i, j in slices(texts):
+            for i, j in slices(texts, CHARS):
                 for name, ids in zip(names_of[i:j], library.encode_batch(texts[i:j]), strict=True):
                     held.append((name, ids + end.to_bytes(4, "little")))
                     size += len(ids) // 4 + 1
