@@ -53,9 +53,10 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
     # No payload moves by its digest: the few columns of the records do, and the owners come back to their own rows.
     kind = F.when((F.col("payload_bytes") < least) | F.col("page_id").eqNullSafe(F.col("owner")), _headers("response")).otherwise(_headers("revisit"))
     small.join(owners, same).select("page_id", "sha256", kind.cast("binary").alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
-    mine = rows.select(F.col("page_id").alias("id"), F.col("sha256").alias("sha"), "payload")
-    held = mine.join(owners.select("owner", "sha256"), F.col("id").eqNullSafe(F.col("owner")) & (F.col("sha") == F.col("sha256")))
-    first = Window.partitionBy("owner", "sha256").orderBy(F.lit(1))  # repeated rows; the join has them side by side
+    # The key has no nulls, so that the join is on plain columns, and what follows finds its rows already together.
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("key")
+    held = rows.select(key("page_id"), "sha256", "payload").join(owners.select(key("owner"), "sha256"), ["key", "sha256"])
+    first = Window.partitionBy("key", "sha256").orderBy(F.lit(1))  # repeated rows
     held.withColumn("n", F.row_number().over(first)).filter("n = 1").select("sha256", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
