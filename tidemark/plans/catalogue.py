@@ -1,11 +1,571 @@
-"""Every query of the engine by name, each with the SQL that checks it."""
+"""Every query of the engine by name, each with the SQL that checks it.
+
+A query is a function of (spark, sf_dir) over whole tables. Its SQL is written apart from it, over the same views, and
+gives the same columns. Computed doubles are rounded to nine places, where two engines' logarithms agree.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tidemark import schemas as S
+from tidemark.ml import metrics, split as sp
+from tidemark.operators import drift, experiments as ex, features as fe, ingest as ing, lake, latency, ranking as rk, serving, topk
+from tidemark.plans import views as v
+from tidemark.session import prepare
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+PLACES = 9
+
+
+def query(sql: str | None = None, more: str = ""):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(prepare(spark), sf_dir)
+        if sql:
+            ORACLE[f.__name__] = v.sql(sql, more)
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, PLACES) for c in columns})
+
+
+def requests_and_features(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return v.requests(spark, sf), v.events(spark, sf), v.items(spark, sf)
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    r, e, i = requests_and_features(spark, sf)
+    known = fe.user_features(r, e, i).withColumns(ex.assign(F.col("user_id")))
+    return rk.score(rk.candidates(known, i), fe.popularity_scores(e, rk.times_of(r)))
+
+
+# Sources and scans
+
+
+@query("SELECT item_id, title, array_to_string(genres, ',') AS genres, year, quality, freshness FROM v_items")
+def catalogue_scan(spark, sf):
+    return ing.scan_items(v.items(spark, sf)).select("item_id", "title", F.array_join("genres", ",").alias("genres"), "year", "quality", "freshness")
+
+
+@query("SELECT item_id, title FROM v_items WHERE item_id = 'i042'")
+def item_lookup(spark, sf):
+    return ing.item(v.items(spark, sf), "i042").select("item_id", "title")
+
+
+@query(f"SELECT event_id, user_id, item_id, action, timestamp, watch_pct FROM v_events WHERE timestamp <= {v.MIDDLE}")
+def asof_filter(spark, sf):
+    return ing.scan(v.events(spark, sf), as_of=v.MIDDLE, ordered=False).select(S.EVENT_COLUMNS)
+
+
+@query("SELECT source_offset, event_id FROM v_log WHERE source_offset > 100 ORDER BY source_offset LIMIT 500")
+def incremental_log(spark, sf):
+    return ing.log(v.log(spark, sf), 100, 500).select("source_offset", "event_id")
+
+
+@query("SELECT item_id, title, CASE WHEN year >= 2024 THEN 1.0::DOUBLE ELSE quality END AS quality FROM v_items")
+def catalogue_upsert(spark, sf):
+    i = v.items(spark, sf)
+    return ing.put_items(i, i.filter("year >= 2024").withColumn("quality", F.lit(1.0))).select("item_id", "title", "quality")
+
+
+@query("SELECT event_id, user_id, item_id, action FROM v_events WHERE action <> 'skip'")
+def dedupe_ingest(spark, sf):
+    e = v.events(spark, sf).drop("seq")
+    fresh, _ = ing.ingest(e.filter("action = 'skip'"), e.unionByName(e))
+    return fresh.select("event_id", "user_id", "item_id", "action")
+
+
+@query("SELECT event_id FROM v_events WHERE action = 'like' AND watch_pct <> 0.5")
+def conflict_detect(spark, sf):
+    e = v.events(spark, sf).drop("seq")
+    other = e.filter("action = 'like'").withColumn("watch_pct", F.lit(0.5))
+    return ing.conflicts(e.unionByName(other)).select("event_id")
+
+
+@query(
+    """SELECT CASE WHEN event_type = 'error' THEN 'invalid action' WHEN value > 100 OR value < 0 THEN 'watch_pct must be between 0 and 1'
+              ELSE 'valid' END AS reason, count(*) AS n FROM events GROUP BY ALL"""
+)
+def event_validation(spark, sf):
+    e = v.events(spark, sf)
+    raw = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("seq"), (F.col("value") / 100).cast("string").alias("raw_share"))
+    rows = e.join(raw, "seq").drop("watch_pct").withColumnRenamed("raw_share", "watch_pct").withColumn("action", F.when(F.col("action") == "skip", "error").otherwise(F.col("action")))
+    return rows.select(F.coalesce(ing.rejection(), F.lit("valid")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT request_id, item_id, position, variant, timestamp FROM v_exposures WHERE variant = 'control'")
+def exposure_append(spark, sf):
+    x = v.exposures(spark, sf)
+    return ing.record_exposures(x.filter("variant = 'challenger'"), x.unionByName(x)).select("request_id", "item_id", "position", "variant", "timestamp")
+
+
+@query(
+    """SELECT (SELECT count(*) FROM v_items) AS items, (SELECT count(*) FROM v_events) AS events,
+              (SELECT count(DISTINCT user_id) FROM v_events) AS users, (SELECT count(*) FROM v_exposures) AS exposures"""
+)
+def store_stats(spark, sf):
+    return ing.stats(v.items(spark, sf), v.events(spark, sf), v.exposures(spark, sf))
+
+
+# Point-in-time features
+
+
+@query("SELECT request_id, genre, CAST(weight AS DOUBLE) AS weight FROM v_sums")
+def user_genre_affinity(spark, sf):
+    r, e, i = requests_and_features(spark, sf)
+    return fe.genre_weights(fe.visible(r, e), i).withColumn("weight", F.col("weight").cast("double"))
+
+
+@query("SELECT request_id, genre, affinity FROM v_affinity")
+def user_affinity_normalized(spark, sf):
+    r, e, i = requests_and_features(spark, sf)
+    return fe.affinities(fe.visible(r, e), i)
+
+
+@query("SELECT request_id, string_agg(item_id, ',' ORDER BY rn DESC) AS recent_items FROM v_recent GROUP BY ALL")
+def recent_items(spark, sf):
+    r, e, i = requests_and_features(spark, sf)
+    return fe.recent_items(fe.visible(r, e), i).withColumn("recent_items", F.array_join("recent_items", ","))
+
+
+@query("SELECT request_id, event_count FROM v_counts")
+def event_count(spark, sf):
+    r, e, _ = requests_and_features(spark, sf)
+    return fe.event_counts(fe.visible(r, e))
+
+
+@query(
+    """SELECT r.request_id, r.user_id, coalesce(n.event_count, 0) AS event_count,
+              coalesce((SELECT count(*) FROM v_affinity a WHERE a.request_id = r.request_id), 0) AS genres,
+              coalesce((SELECT count(*) FROM v_recent c WHERE c.request_id = r.request_id), 0) AS recent
+       FROM v_requests r LEFT JOIN v_counts n USING (request_id)"""
+)
+def user_features(spark, sf):
+    f = fe.user_features(*requests_and_features(spark, sf))
+    return f.select("request_id", "user_id", "event_count", F.size("genre_affinity").cast("long").alias("genres"), F.size("recent_items").cast("long").alias("recent"))
+
+
+@query("SELECT as_of, item_id, plays FROM v_plays")
+def item_popularity(spark, sf):
+    r, e, _ = requests_and_features(spark, sf)
+    return fe.popularity(e, rk.times_of(r))
+
+
+@query("SELECT as_of, item_id, plays, max_plays, round(popularity, 9) AS popularity FROM v_popularity")
+def popularity_log_norm(spark, sf):
+    r, e, _ = requests_and_features(spark, sf)
+    return rounded(fe.popularity_scores(e, rk.times_of(r)), "popularity")
+
+
+# Candidates, scores and slates
+
+
+@query("SELECT request_id, item_id FROM v_candidates")
+def candidates_anti_consumed(spark, sf):
+    r, e, i = requests_and_features(spark, sf)
+    return rk.candidates(fe.user_features(r, e, i), i).select("request_id", "item_id")
+
+
+@query("SELECT request_id, item_id, round(retrieval_score, 9) AS retrieval_score FROM v_scored WHERE event_count = 0")
+def cold_start_scores(spark, sf):
+    return rounded(scored(spark, sf).filter("event_count = 0").select("request_id", "item_id", "retrieval_score"), "retrieval_score")
+
+
+def _scores(variant: str) -> str:
+    return f"SELECT request_id, item_id, plays, round(retrieval_score, 9) AS retrieval_score, round(rank_score, 9) AS rank_score FROM v_ranked WHERE variant = '{variant}'"
+
+
+def _scored_arm(spark, sf, variant):
+    rows = scored(spark, sf).filter(F.col("variant") == variant)
+    return rounded(rows.select("request_id", "item_id", "plays", "retrieval_score", "rank_score"), "retrieval_score", "rank_score")
+
+
+@query(_scores("control"))
+def heuristic_scores_control(spark, sf):
+    return _scored_arm(spark, sf, "control")
+
+
+@query(_scores("challenger"))
+def heuristic_scores_challenger(spark, sf):
+    return _scored_arm(spark, sf, "challenger")
+
+
+@query(
+    """SELECT request_id, CAST(position AS INTEGER) AS position, item_id, round(rank_score, 9) AS rank_score FROM (
+         SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(rank_score, 9) DESC, item_id) AS position FROM v_ranked) WHERE position <= 12"""
+)
+def topk_slate(spark, sf):
+    rows = rounded(scored(spark, sf).select("request_id", "item_id", "rank_score"), "rank_score")
+    return rk.top_k(rows).select("request_id", "position", "item_id", "rank_score")
+
+
+@query(
+    "SELECT request_id, pos AS position, item_id, round(score, 9) AS score FROM v_step WHERE pos > 0",
+    """v_rounded AS (SELECT request_id, item_id, genres, round(rank_score, 9) AS rank_score FROM v_ranked),
+    v_step AS (
+      SELECT request_id, 0 AS pos, []::VARCHAR[] AS chosen, []::VARCHAR[] AS shown, ''::VARCHAR AS item_id, 0.0::DOUBLE AS score FROM v_requests
+      UNION ALL
+      SELECT request_id, pos + 1, list_append(chosen, x.item_id), list_concat(shown, x.genres), x.item_id, x.score FROM (
+        SELECT s.request_id, s.pos, s.chosen, s.shown,
+               first({'item_id': c.item_id, 'genres': c.genres, 'score': c.rank_score - 0.075::DOUBLE * (list_sum(list_transform(c.genres, lambda g: len(list_filter(s.shown, lambda h: h = g)))) / len(c.genres))}
+                 ORDER BY c.rank_score - 0.075::DOUBLE * (list_sum(list_transform(c.genres, lambda g: len(list_filter(s.shown, lambda h: h = g)))) / len(c.genres)) DESC, c.item_id) AS x
+        FROM v_step s JOIN v_rounded c ON c.request_id = s.request_id AND NOT list_contains(s.chosen, c.item_id)
+        WHERE s.pos < 12 GROUP BY s.request_id, s.pos, s.chosen, s.shown))""",
+)
+def greedy_slate(spark, sf):
+    rows = rounded(scored(spark, sf).select("request_id", "item_id", "genres", "rank_score"), "rank_score")
+    return rounded(rk.diverse_slate(rows), "score")
+
+
+@query(
+    """SELECT request_id, item_id, CASE WHEN reasons = '' THEN 'Highly rated for discovery' ELSE reasons END AS reasons FROM (
+         SELECT s.request_id, s.item_id, array_to_string(list_filter([
+             CASE WHEN b.a > 0 THEN 'Matches your interest in ' || b.genre END, CASE WHEN freshness > 0.78 THEN 'Fresh release' END,
+             CASE WHEN plays > 2 THEN 'Trending now' END], lambda x: x IS NOT NULL)[1:2], '; ') AS reasons
+         FROM v_scored s JOIN v_best b USING (request_id, item_id))""",
+    """v_best AS (
+      SELECT request_id, item_id, genre, a FROM (
+        SELECT c.request_id, c.item_id, g.genre, coalesce(f.affinity, 0) AS a,
+               row_number() OVER (PARTITION BY c.request_id, c.item_id ORDER BY coalesce(f.affinity, 0) DESC, list_position(c.genres, g.genre)) AS n
+        FROM v_candidates c JOIN v_genres g USING (item_id) LEFT JOIN v_affinity f ON f.request_id = c.request_id AND f.genre = g.genre) WHERE n = 1)""",
+)
+def reasons(spark, sf):
+    return scored(spark, sf).select("request_id", "item_id", F.array_join(rk.reasons(), "; ").alias("reasons"))
+
+
+@query()
+def recommendations(spark, sf):
+    r, e, i = requests_and_features(spark, sf)
+    return rk.recommend(r, e, i).select("request_id", "position", "item_id", "score", "retrieval_score", "rank_score", F.array_join("reasons", "; ").alias("reasons"), "variant", "serving_mode")
+
+
+# Experiments
+
+
+@query("SELECT user_id, bucket, variant FROM v_arms")
+def assignment_buckets(spark, sf):
+    return v.events(spark, sf).select("user_id").distinct().withColumns(ex.assign(F.col("user_id"))).drop("experiment")
+
+
+@query("SELECT variant, count(*) AS n FROM v_arms GROUP BY ALL")
+def assignment_split(spark, sf):
+    return assignment_buckets(spark, sf).groupBy("variant").agg(F.count("*").alias("n"))
+
+
+EXPERIMENT = f"""
+v_mature AS (SELECT request_id, arg_min(user_id, position) AS user_id, arg_min(variant, position) AS variant, arg_min(timestamp, position) AS ts
+  FROM v_exposures WHERE timestamp + 604800.0 <= {v.READOUT} GROUP BY request_id),
+v_good AS (SELECT * FROM v_events WHERE action IN ('like', 'complete') AND timestamp <= {v.READOUT}),
+v_converted AS (SELECT DISTINCT m.request_id FROM v_mature m JOIN v_exposures x USING (request_id)
+  JOIN v_good g ON g.user_id = m.user_id AND g.item_id = x.item_id AND g.timestamp > m.ts AND g.timestamp <= m.ts + 604800.0),
+v_pre AS (SELECT m.request_id, count(g.event_id) AS pre_period FROM v_mature m LEFT JOIN v_good g
+  ON g.user_id = m.user_id AND g.timestamp >= m.ts - 604800.0 AND g.timestamp < m.ts GROUP BY ALL),
+v_obs AS (SELECT m.request_id, m.variant, CASE WHEN c.request_id IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS outcome, p.pre_period::DOUBLE AS pre_period
+  FROM v_mature m LEFT JOIN v_converted c USING (request_id) JOIN v_pre p USING (request_id)),
+v_theta AS (SELECT count(*) AS mature_requests, avg(pre_period) AS mean_x,
+  CASE WHEN var_pop(pre_period) > 0 THEN covar_pop(outcome, pre_period) / var_pop(pre_period) ELSE 0 END AS theta FROM v_obs),
+v_adjusted AS (SELECT variant, outcome, outcome - theta * (pre_period - mean_x) AS adjusted FROM v_obs, v_theta),
+v_report AS (SELECT variant, count(*) AS requests, avg(outcome) AS conversion_rate, avg(adjusted) AS cuped_conversion_rate,
+  sqrt(coalesce(var_samp(adjusted), 0) / count(*)) AS standard_error FROM v_adjusted GROUP BY ALL)"""
+
+
+def _observations(spark, sf):
+    return ex.observations(v.exposures(spark, sf), v.events(spark, sf), v.READOUT)
+
+
+@query("SELECT request_id, user_id, variant, ts FROM v_mature", EXPERIMENT)
+def mature_requests(spark, sf):
+    return ex.mature_requests(v.exposures(spark, sf), v.READOUT)
+
+
+@query("SELECT request_id, CAST(outcome AS INTEGER) AS converted FROM v_obs", EXPERIMENT)
+def outcome_attribution(spark, sf):
+    return ex.outcomes(v.exposures(spark, sf), v.events(spark, sf), v.READOUT)
+
+
+@query("SELECT request_id, pre_period FROM v_pre", EXPERIMENT)
+def pre_period_counts(spark, sf):
+    return ex.pre_period_counts(v.exposures(spark, sf), v.events(spark, sf), v.READOUT)
+
+
+@query("SELECT mature_requests, round(mean_x, 9) AS mean_x, round(theta, 9) AS theta FROM v_theta", EXPERIMENT)
+def cuped_theta(spark, sf):
+    return rounded(ex.theta(_observations(spark, sf)), "mean_x", "theta")
+
+
+@query("SELECT variant, requests, round(conversion_rate, 9) AS conversion_rate, round(cuped_conversion_rate, 9) AS cuped_conversion_rate, round(standard_error, 9) AS standard_error FROM v_report", EXPERIMENT)
+def cuped_variants(spark, sf):
+    return rounded(ex.variants(_observations(spark, sf)).drop("theta"), "conversion_rate", "cuped_conversion_rate", "standard_error")
+
+
+@query(
+    """SELECT round(d, 9) AS absolute_lift, round(d / c.cuped_conversion_rate, 9) AS relative_lift, round(CASE WHEN se > 0 THEN d / se ELSE 0 END, 9) AS z_score,
+              CASE WHEN least(c.requests, t.requests) >= 30 AND d < 0 AND d / se <= -2.576 THEN 'stop' ELSE 'continue' END AS sequential_guardrail,
+              least(c.requests, t.requests) >= 30 AS minimum_sample_reached
+       FROM v_report c, v_report t, LATERAL (SELECT t.cuped_conversion_rate - c.cuped_conversion_rate AS d, sqrt(c.standard_error ** 2 + t.standard_error ** 2) AS se) x
+       WHERE c.variant = 'control' AND t.variant = 'challenger'""",
+    EXPERIMENT,
+)
+def experiment_comparison(spark, sf):
+    return rounded(ex.comparison(ex.variants(_observations(spark, sf))), "absolute_lift", "relative_lift", "z_score")
+
+
+# The event-time lake
+
+LAKE = f"""
+v_marked AS (SELECT *, max(timestamp) OVER (ORDER BY source_offset ROWS UNBOUNDED PRECEDING) - {v.ALLOWED_LATENESS}.0 AS watermark FROM v_log),
+v_gold AS (SELECT user_id, genre, CAST(round(sum(CAST(CAST(weight AS DECIMAL(24,12)) / n_genres AS DECIMAL(24,12))), 6) AS DOUBLE) AS affinity
+  FROM v_weighted JOIN v_genres USING (item_id) GROUP BY ALL)"""
+
+
+def _marked(spark, sf):
+    return lake.running_watermark(v.log(spark, sf), v.ALLOWED_LATENESS)
+
+
+@query("SELECT source_offset, event_id, round(watermark, 6) AS watermark FROM v_marked", LAKE)
+def running_watermark(spark, sf):
+    return _marked(spark, sf).select("source_offset", "event_id", F.round("watermark", 6).alias("watermark"))
+
+
+@query("SELECT source_offset, event_id, round(watermark, 6) AS watermark, round(watermark - timestamp, 6) AS lateness_seconds FROM v_marked WHERE timestamp < watermark", LAKE)
+def late_quarantine(spark, sf):
+    return lake.split_late(_marked(spark, sf))[1].select("source_offset", "event_id", F.round("watermark", 6).alias("watermark"), "lateness_seconds")
+
+
+@query("SELECT source_offset, event_id, false AS repaired FROM v_marked WHERE timestamp >= watermark", LAKE)
+def silver_on_time(spark, sf):
+    return lake.split_late(_marked(spark, sf))[0].select("source_offset", "event_id", "repaired")
+
+
+@query("SELECT event_id, timestamp < watermark AS repaired FROM v_marked", LAKE)
+def repair_union(spark, sf):
+    silver, late = lake.split_late(_marked(spark, sf))
+    return silver.unionByName(lake.repair(silver, late)).select("event_id", "repaired")
+
+
+@query("SELECT user_id, genre, affinity FROM v_gold", LAKE)
+def gold_affinity(spark, sf):
+    return lake.gold(v.events(spark, sf), v.items(spark, sf))
+
+
+@query("SELECT user_id, genre, affinity, 'missing' AS side FROM v_gold WHERE affinity < 0", LAKE)
+def gold_verify_diff(spark, sf):
+    """What replay finds that a snapshot without the negative affinities lacks."""
+    g = lake.gold(v.events(spark, sf), v.items(spark, sf))
+    return lake.differences(g, g.filter("affinity >= 0"))
+
+
+@query("SELECT event_id, user_id, item_id, action, round(timestamp, 3) AS timestamp, watch_pct FROM v_events WHERE action <> 'skip'")
+def wire_parse(spark, sf):
+    """Events through their wire form: JSON with RFC 3339 times, of which one action is made invalid."""
+    from tidemark.streaming.kafka import parse_wire
+
+    e = v.events(spark, sf)
+    at = F.date_format(F.timestamp_micros(F.round(F.col("timestamp") * 1000000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    body = F.to_json(F.struct(F.lit(1).alias("schema_version"), "event_id", "user_id", "item_id", F.when(F.col("action") == "skip", "jump").otherwise(F.col("action")).alias("action"), at.alias("event_time"), "watch_pct"))
+    good, _ = parse_wire(e.select(body.alias("raw_json")))
+    return good.select("event_id", "user_id", "item_id", "action", F.round(F.unix_micros("event_time") / 1000000.0, 3).alias("timestamp"), "watch_pct")
+
+
+# Training data and metrics
+
+SPLIT = """
+v_pos AS (SELECT user_id, item_id, max(timestamp) AS ts FROM v_events JOIN v_items USING (item_id)
+  WHERE action IN ('like', 'complete') OR (action = 'play' AND watch_pct >= 0.6) GROUP BY ALL),
+v_split AS (SELECT user_id, item_id, ts, CASE rn WHEN 1 THEN 'test' WHEN 2 THEN 'validation' ELSE 'train' END AS role,
+    max(CASE WHEN rn = 3 THEN ts END) OVER (PARTITION BY user_id) AS cutoff
+  FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id DESC) AS rn FROM v_pos) WHERE n >= 5),
+v_tp AS (SELECT item_id, plays, ln(1 + plays) / max(ln(1 + plays)) OVER () AS popularity
+  FROM (SELECT item_id, count(s.user_id) AS plays FROM v_items LEFT JOIN (SELECT * FROM v_split WHERE role = 'train') s USING (item_id) GROUP BY ALL)),
+v_ig AS (SELECT item_id, genre, 1.0::DOUBLE / count(*) OVER (PARTITION BY item_id) AS weight FROM (SELECT DISTINCT item_id, genre FROM v_genres)),
+v_tastes AS (SELECT user_id, genre, sum(weight) / max(n) AS taste FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM v_split WHERE role = 'train') s
+  JOIN v_ig USING (item_id) GROUP BY ALL),
+v_eval AS (SELECT u.user_id, i.item_id, i.item_id = t.item_id AS is_target FROM (SELECT DISTINCT user_id FROM v_split) u
+  JOIN (SELECT * FROM v_split WHERE role = 'test') t USING (user_id), v_items i
+  WHERE NOT EXISTS (SELECT 1 FROM v_split s WHERE s.user_id = u.user_id AND s.item_id = i.item_id AND s.role IN ('train', 'validation'))),
+v_match AS (SELECT e.user_id, e.item_id, sum(coalesce(t.taste, 0)) / max(c.n) AS taste_match FROM v_eval e
+  JOIN (SELECT item_id, genre, count(*) OVER (PARTITION BY item_id) AS n FROM v_ig) c USING (item_id)
+  LEFT JOIN v_tastes t ON t.user_id = e.user_id AND t.genre = c.genre GROUP BY ALL),
+v_models AS (
+  SELECT 'popularity' AS model, user_id, item_id, is_target, round(popularity, 9) AS score FROM v_eval JOIN v_tp USING (item_id)
+  UNION ALL
+  SELECT 'heuristic', user_id, item_id, is_target, round(0.55::DOUBLE * taste_match + 0.25::DOUBLE * quality + 0.20::DOUBLE * freshness, 9)
+  FROM v_eval JOIN v_match USING (user_id, item_id) JOIN v_items USING (item_id)),
+v_ranks AS (SELECT *, row_number() OVER (PARTITION BY model, user_id ORDER BY score DESC, item_id) AS rank FROM v_models),
+v_accuracy AS (SELECT model, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 9) AS recall,
+  round(avg(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END), 9) AS ndcg, round(avg(1.0::DOUBLE / rank), 9) AS mrr FROM v_ranks WHERE is_target GROUP BY ALL)"""
+
+
+def _split(spark, sf):
+    return sp.temporal_split(v.events(spark, sf), v.items(spark, sf))
+
+
+def _baselines(spark, sf):
+    s, i = _split(spark, sf), v.items(spark, sf)
+    rows = sp.heuristic_scores(sp.evaluation_candidates(s, i), s, i).join(sp.train_popularity(s, i).select("item_id", "popularity"), "item_id")
+    return metrics.stack(rounded(rows, "heuristic", "popularity"), {"popularity": "popularity", "heuristic": "heuristic"})
+
+
+@query("SELECT user_id, item_id, ts FROM v_pos", SPLIT)
+def positive_max_ts(spark, sf):
+    return sp.positive_times(v.events(spark, sf), v.items(spark, sf))
+
+
+@query("SELECT user_id, item_id, ts, role, cutoff FROM v_split", SPLIT)
+def temporal_split(spark, sf):
+    return _split(spark, sf)
+
+
+@query("SELECT item_id, plays, round(popularity, 9) AS popularity FROM v_tp", SPLIT)
+def train_popularity(spark, sf):
+    return rounded(sp.train_popularity(_split(spark, sf), v.items(spark, sf)), "popularity")
+
+
+@query("SELECT user_id, genre, round(taste, 9) AS taste FROM v_tastes", SPLIT)
+def taste_vectors(spark, sf):
+    return rounded(sp.taste_vectors(_split(spark, sf), v.items(spark, sf)), "taste")
+
+
+@query(
+    """SELECT DISTINCT e.user_id, e.item_id FROM v_events e JOIN (SELECT DISTINCT user_id, cutoff FROM v_split) c USING (user_id)
+       WHERE timestamp <= cutoff AND (action IN ('skip', 'impression') OR (action = 'play' AND watch_pct < 0.4))
+         AND NOT EXISTS (SELECT 1 FROM v_split s WHERE s.user_id = e.user_id AND s.item_id = e.item_id AND s.role = 'train')""",
+    SPLIT,
+)
+def negative_labels(spark, sf):
+    return sp.negatives(v.events(spark, sf), _split(spark, sf), v.items(spark, sf))
+
+
+@query(
+    """SELECT count(DISTINCT user_id) AS users, (SELECT count(*) FROM v_items) AS items, count(*) FILTER (role = 'train') AS train_interactions,
+              count(*) FILTER (role = 'validation') AS validation_interactions, count(*) FILTER (role = 'test') AS test_interactions,
+              min(cutoff) AS minimum_train_cutoff, max(cutoff) AS maximum_train_cutoff FROM v_split""",
+    SPLIT,
+)
+def split_manifest(spark, sf):
+    return sp.manifest(_split(spark, sf), v.items(spark, sf))
+
+
+@query("SELECT user_id, item_id, is_target FROM v_eval", SPLIT)
+def evaluation_candidates(spark, sf):
+    return sp.evaluation_candidates(_split(spark, sf), v.items(spark, sf))
+
+
+@query("SELECT * FROM v_accuracy WHERE model = 'popularity'", SPLIT)
+def ranking_metrics_popularity(spark, sf):
+    return rounded(metrics.accuracy(metrics.ranked(_baselines(spark, sf).filter("model = 'popularity'"))), "recall", "ndcg", "mrr")
+
+
+@query("SELECT * FROM v_accuracy WHERE model = 'heuristic'", SPLIT)
+def ranking_metrics_heuristic(spark, sf):
+    return rounded(metrics.accuracy(metrics.ranked(_baselines(spark, sf).filter("model = 'heuristic'"))), "recall", "ndcg", "mrr")
+
+
+@query(
+    """SELECT model, round(coverage, 9) AS coverage, round(diversity, 9) AS diversity, round(novelty, 9) AS novelty FROM
+         (SELECT model, count(DISTINCT item_id) / (SELECT count(*) FROM v_items)::DOUBLE AS coverage FROM v_ranks WHERE rank <= 5 GROUP BY ALL)
+         JOIN (SELECT model, avg(d) AS diversity FROM (
+            SELECT a.model, a.user_id, avg(1 - len(list_intersect(x.genres, y.genres)) / len(list_distinct(list_concat(x.genres, y.genres)))::DOUBLE) AS d
+            FROM v_ranks a JOIN v_ranks b ON a.model = b.model AND a.user_id = b.user_id AND a.rank < b.rank AND b.rank <= 5
+            JOIN v_items x ON x.item_id = a.item_id JOIN v_items y ON y.item_id = b.item_id GROUP BY ALL) GROUP BY ALL) USING (model)
+         JOIN (SELECT model, avg(-log2((plays + 1) / ((SELECT sum(plays) FROM v_tp) + (SELECT count(*) FROM v_items))::DOUBLE)) AS novelty
+            FROM v_ranks JOIN v_tp USING (item_id) WHERE rank <= 5 GROUP BY ALL) USING (model)""",
+    SPLIT,
+)
+def coverage_diversity_novelty(spark, sf):
+    s, i = _split(spark, sf), v.items(spark, sf)
+    return rounded(metrics.evaluate(_baselines(spark, sf), s, i).drop("recall", "ndcg", "mrr"), "coverage", "diversity", "novelty")
+
+
+@query()
+def four_way_evaluation(spark, sf):
+    """Popularity, heuristic, two-tower retrieval and the learned ranker on the test items, after training."""
+    from tidemark.ml import training
+
+    return training.train(v.events(spark, sf), v.items(spark, sf), dimensions=8, epochs=6).evaluation
+
+
+# Retrieval, drift, serving
+
+
+def _vectors(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    x = F.col("embedding").cast("array<double>")
+    return e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), x.alias("q")), e.select(F.col("vec_id").alias("item_id"), x.alias("v"), F.coalesce(F.col("label") / 1000.0, F.lit(0.0)).alias("bias"))
+
+
+@query(
+    """SELECT query_id, CAST(rank AS INTEGER) AS rank, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (
+         SELECT q.vec_id AS query_id, i.vec_id AS item_id, round(list_inner_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) + coalesce(i.label / 1000.0::DOUBLE, 0), 10) AS score
+         FROM embeddings q, embeddings i WHERE q.vec_id % 50 = 0)) WHERE rank <= 10"""
+)
+def exact_mips_topk(spark, sf):
+    return topk.exact_top_k(*_vectors(spark, sf), 10)
+
+
+@query()
+def ann_recall(spark, sf):
+    q, i = _vectors(spark, sf)
+    return topk.recall(topk.approximate_top_k(q, i, 10), topk.exact_top_k(q, i, 10), 10)
+
+
+@query(
+    """SELECT round(sum(0.5 * p * log2(p / m) + 0.5 * q * log2(q / m)), 9) AS js FROM (SELECT *, (p + q) / 2 AS m FROM (
+         SELECT (popularity + 1e-12) / sum(popularity + 1e-12) OVER () AS p, (live + 1e-12) / sum(live + 1e-12) OVER () AS q
+         FROM v_tp JOIN (SELECT item_id, count(event_id)::DOUBLE AS live FROM v_items LEFT JOIN v_events USING (item_id) GROUP BY ALL) USING (item_id)))""",
+    SPLIT,
+)
+def drift_js(spark, sf):
+    trained = sp.train_popularity(_split(spark, sf), v.items(spark, sf))
+    cells = trained.join(drift.live_counts(v.events(spark, sf), trained), "item_id")
+    return rounded(drift.jensen_shannon(cells, "popularity", "live"), "js")
+
+
+@query("SELECT action, count(*) AS n FROM v_events GROUP BY ALL")
+def action_mix(spark, sf):
+    return drift.action_counts(v.events(spark, sf))
+
+
+@query(
+    """SELECT request_id, CASE WHEN variant <> 'challenger' THEN 'heuristic_control' WHEN NOT known THEN 'heuristic_fallback' ELSE 'learned_challenger' END AS mode,
+              CASE WHEN variant = 'challenger' AND NOT known THEN 'unknown user' END AS fallback_reason
+       FROM (SELECT request_id, variant, EXISTS (SELECT 1 FROM v_good g WHERE g.user_id = r.user_id) AS known FROM v_requests r JOIN v_arms USING (user_id))""",
+    f"v_good AS (SELECT DISTINCT user_id FROM v_events WHERE action = 'like' AND timestamp <= {v.MIDDLE})",
+)
+def serving_decisions(spark, sf):
+    """Decisions with a model that knows the users who had liked something by the middle of the month."""
+    r, e, i = requests_and_features(spark, sf)
+    known = e.filter((F.col("action") == "like") & (F.col("timestamp") <= v.MIDDLE)).select("user_id").distinct()
+    rows = serving.decide(r.withColumns(ex.assign(F.col("user_id"))), serving.Loaded("v1", known, i.select("item_id")), i)
+    return rows.select("request_id", "mode", "fallback_reason")
+
+
+BUCKETS = ", ".join(f"({b}::DOUBLE)" for b in S.LATENCY_BUCKETS)
+
+
+@query(f"SELECT le, (SELECT count(*) FROM events WHERE value / 1000.0::DOUBLE <= le) AS count FROM (VALUES {BUCKETS}, ('infinity'::DOUBLE)) t(le)")
+def latency_histogram(spark, sf):
+    return latency.histogram(spark.read.parquet(f"{sf}/events.parquet").select((F.col("value") / 1000.0).alias("latency_seconds")))
+
+
+@query(
+    """SELECT round(avg(value), 6) AS mean, list_sort(list(value))[CAST(round_even((count(*) - 1) * 0.5, 0) AS INTEGER) + 1] AS p50,
+              list_sort(list(value))[CAST(round_even((count(*) - 1) * 0.95, 0) AS INTEGER) + 1] AS p95,
+              list_sort(list(value))[CAST(round_even((count(*) - 1) * 0.99, 0) AS INTEGER) + 1] AS p99, max(value) AS max FROM events"""
+)
+def nearest_rank_percentiles(spark, sf):
+    return latency.nearest_rank(spark.read.parquet(f"{sf}/events.parquet"), "value").withColumn("mean", F.round("mean", 6))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
