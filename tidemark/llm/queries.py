@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, crf, html, mixing, pivots, secrets, simhash, token_files, topk, warc
+from tidemark.llm import bpe, crf, html, mixing, oracle, pivots, secrets, simhash, token_files, topk, warc
 from tidemark.llm.common import table
 from tidemark.session import prepare
 
@@ -63,4 +63,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
