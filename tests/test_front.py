@@ -7,6 +7,7 @@ import pytest
 
 from tidemark import api, cli, demo, schemas as S
 from tidemark.operators import latency
+from tidemark.sources import contracts, files
 from tidemark.store import Store
 
 
@@ -39,7 +40,7 @@ def test_http(store):
     status, text = call("/api/recommendations?user_id=maya")
     got = json.loads(text)
     assert status == 200 and len(got["recommendations"]) == 12 and got["serving"]["mode"] == "heuristic"
-    assert store.exposures().count() == 12
+    assert got["features"]["event_count"] == 42 and store.exposures().count() == 12
     assert call("/healthz")[0] == 200 and call("/api/model")[0] == 503 and call("/api/drift")[0] == 503 and call("/nowhere")[0] == 404
     assert "tidemark" in call("/")[1]
     metrics = call("/metrics")[1]
@@ -52,6 +53,12 @@ def test_http(store):
     web.shutdown()
 
 
+def test_contract():
+    schema = contracts.wire_schema()
+    assert set(schema["properties"]) == {f.name for f in S.WIRE} and schema["additionalProperties"] is False
+    assert schema["required"] == S.WIRE_REQUIRED and len(schema["required"]) == 7
+
+
 def test_latency(spark):
     rows = spark.createDataFrame([(x / 1000,) for x in (1, 5, 7, 20, 999, 1500)], "latency_seconds double")
     found = [(r.le, r["count"]) for r in latency.histogram(rows).collect()]
@@ -75,6 +82,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("pipeline", "--batch-size", "2000", *lake)["silver_events"] == 168 + 40 * 24
     assert run("repair-late", *lake)["repaired"] == 0 and run("verify-pipeline", *lake)["verified"]
     assert run("train", "--output", f"{tmp_path}/model", "--dimensions", "4", "--epochs", "4")["model_version"]
+    version = files.read_json(spark, f"{tmp_path}/model/manifest.json")["model_version"]
+    assert files.read_json(spark, f"{tmp_path}/store/runs/ranker-{version}.json")["tags"]["model_version"] == version
     registry = ["--registry", f"{tmp_path}/registry"]
     staged = run("register-model", "--model", f"{tmp_path}/model", *registry)
     assert run("registry-status", *registry)["registered_versions"] == 1 and staged["model_version"]

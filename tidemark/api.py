@@ -10,7 +10,7 @@ import uuid
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from tidemark import schemas as S
-from tidemark.operators import drift, ingest as ing, latency, ranking as rk
+from tidemark.operators import drift, features as fe, ingest as ing, latency, ranking as rk
 from tidemark.runtime import Runtime
 from tidemark.store import Store
 
@@ -67,8 +67,10 @@ class Service:
         self.counters.observe(mode, reason, time.perf_counter() - began)
         titles = ("item_id", "title", "genres", "score", "retrieval_score", "rank_score", "reasons", "position")
         first = rows[0] if rows else None
+        known = fe.user_features(request, events, items).first()
         return {
-            "request_id": request.first().request_id,
+            "request_id": known.request_id,
+            "features": {k: known[k] for k in ("user_id", "as_of", "genre_affinity", "recent_items", "event_count")},
             "assignment": {k: first[k] for k in ("experiment", "variant", "bucket")} if first else None,
             "serving": {"mode": mode, "model_version": version, "fallback_reason": reason, "candidate_count": len(rows)},
             "recommendations": [{k: round(r[k], 4) if k.endswith("score") else r[k] for k in titles} for r in rows],

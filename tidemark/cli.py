@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     add("repair-late", "move quarantined events into silver", **lake)
     add("verify-pipeline", "replay silver and compare with gold", **lake)
     add("ml-demo", "seed a population to train on", users=240)
-    add("train", "train and evaluate the models", output="artifacts/model", dimensions=16, epochs=35, seed=17)
+    add("train", "train and evaluate the models", output="artifacts/model", dimensions=16, epochs=35, seed=17, tracking_uri="", no_track=False)
     add("benchmark-serving", "slates per second of a batch", model="artifacts/model", requests=1000)
     add("benchmark-ann", "recall and time of approximate retrieval", items=100_000, queries=100, dimensions=64, neighbors=50, seed=17)
     add("analyze-experiment", "the readout of an experiment", experiment="ranker-v1", window_days=7.0)
@@ -67,7 +67,7 @@ def benchmark_ann(spark: SparkSession, items: int, queries: int, dimensions: int
 
 def run(args: argparse.Namespace, spark: SparkSession) -> dict:
     from tidemark import api, runtime
-    from tidemark.ml import training
+    from tidemark.ml import tracking, training
     from tidemark.registry import Registry
     from tidemark.streaming.medallion import Medallion
 
@@ -80,7 +80,10 @@ def run(args: argparse.Namespace, spark: SparkSession) -> dict:
         lake = Medallion(spark, args.lake, store.items(), args.watermark_minutes * 60)
         return lake.run_all(store.log(), args.batch_size) if args.command == "pipeline" else lake.repair_late() if args.command == "repair-late" else lake.verify()
     if args.command == "train":
-        return training.train(store.events(), store.items(), args.dimensions, args.epochs, args.seed, args.output).report
+        report = training.train(store.events(), store.items(), args.dimensions, args.epochs, args.seed, args.output).report
+        if not args.no_track:
+            tracking.track(spark, f"{args.store}/runs", report, args.output, args.tracking_uri or None)
+        return report
     if args.command == "analyze-experiment":
         return ex.analyze(store.exposures(), store.events(), time.time(), args.experiment, args.window_days)
     if args.command == "benchmark-ann":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import schemas as S
 
@@ -11,8 +11,8 @@ EPSILON = 1e-12
 
 def jensen_shannon(cells: DataFrame, left: str, right: str, epsilon: float = EPSILON) -> DataFrame:
     """One row with `js`, base 2; epsilon is added to every cell before both are made to sum to one."""
-    total = lambda c: F.sum(F.col(c) + epsilon).over(Window.partitionBy())  # noqa: E731  a row for each item
-    p = cells.select(((F.col(left) + epsilon) / total(left)).alias("p"), ((F.col(right) + epsilon) / total(right)).alias("q"))
+    total = cells.agg(F.sum(F.col(left) + epsilon).alias("tp"), F.sum(F.col(right) + epsilon).alias("tq"))  # one row
+    p = cells.join(F.broadcast(total)).select(((F.col(left) + epsilon) / F.col("tp")).alias("p"), ((F.col(right) + epsilon) / F.col("tq")).alias("q"))
     m = (F.col("p") + F.col("q")) / 2
     part: Column = 0.5 * F.col("p") * F.log2(F.col("p") / m) + 0.5 * F.col("q") * F.log2(F.col("q") / m)
     return p.agg(F.sum(part).alias("js"))

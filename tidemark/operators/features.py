@@ -87,5 +87,6 @@ def popularity(events: DataFrame, times: list[float] | None = None) -> DataFrame
 def popularity_scores(events: DataFrame, times: list[float] | None = None) -> DataFrame:
     """popularity with max_plays, of all items that were played, and popularity = log(1 + plays) / log(1 + max)."""
     counted = popularity(events, times)
-    top = F.max("plays").over(Window.partitionBy("as_of"))
-    return counted.withColumn("max_plays", top).withColumn("popularity", F.log1p("plays") / F.log1p("max_plays"))
+    top = counted.groupBy(F.col("as_of").alias("_at")).agg(F.max("plays").alias("max_plays"))  # a row for each time
+    joined = counted.join(F.broadcast(top), F.col("as_of").eqNullSafe(F.col("_at"))).drop("_at")
+    return joined.withColumn("popularity", F.log1p("plays") / F.log1p("max_plays"))
