@@ -21,8 +21,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "random")
-#: Strings that the Markov models judge: of identifier characters, with a letter and a digit.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Strings that the Markov models judge: of identifier characters, perhaps padded, with a letter and a digit.
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
 #: Nats by which the ratio must exceed zero, for each pair of characters.
 THRESHOLD = 0.25
@@ -159,7 +159,7 @@ def scan(docs: DataFrame, text: str = "text", out: str = "found", threshold: flo
     assign = when(t.rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"), _matches(t, ASSIGN, 2, lambda x: F.length(x) >= 6, 0))
     access = when(t.contains("AKIA"), _matches(t, ACCESS, 0, lambda x: F.length(x) >= 20, 1))
     hexes = when(t.rlike("[0-9a-f]{24}"), _matches(t, HEX, 0, lambda x: F.length(x) >= 24, 2))
-    extra = when(t.rlike(r"[A-Za-z0-9+/_=-]{20}"), _random(t, threshold))
+    extra = when(t.rlike(r"[A-Za-z0-9+/_-]{20}"), _random(t, threshold))
 
     def joined(x: Column) -> Column:
         base = F.array_sort(F.concat(x["assign"], x["access"], x["hex"]))
