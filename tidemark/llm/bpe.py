@@ -14,11 +14,15 @@ from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.common import frugal, pieces
+
 #: Texts of these characters alone need no normalisation but lower case, and split into words at white space. (The
 #: capital I with a dot is left out: in lower case it is two characters.)
 PLAIN = r"[\t-\r -~\xa0-įı-ɏ]*"
 #: Words that a Python worker remembers, and words that are encoded together.
 REMEMBERED, TOGETHER = 1_000_000, 200_000
+#: Bytes of text that are encoded together.
+BYTES = 6_000_000
 #: The split pattern and the normalisation that this encoder knows (fixed values of the tokenizer files).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -264,18 +268,6 @@ def read_spec(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def slices(texts: list, chars: int = 16_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about so many characters in all, at least one text each."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t or "")
-        if total >= chars:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """docs with the binary column `out`: the ids of `text` as little-endian unsigned 32-bit integers."""
     from pyspark.sql.types import BinaryType, StructField, StructType
@@ -287,13 +279,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
         import pyarrow as pa
 
         bpe = loaded(Bpe, spec.value)
-        for b in batches:
-            texts = b.column(text).to_pylist()
-            for i, j in slices(texts):
-                some = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*(some.column(f.name) for f in keep), pa.array(bpe.encode_batch(texts[i:j]), pa.binary())], names=[f.name for f in keep] + [out])
+        for b in pieces(batches, text, BYTES):
+            ids = pa.array(bpe.encode_batch(b.column(text).to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), ids], names=[f.name for f in keep] + [out])
 
-    return docs.select(*(f.name for f in keep)).mapInArrow(run, StructType([*keep, StructField(out, BinaryType())]))
+    return docs.select(*(f.name for f in keep)).mapInArrow(frugal(run), StructType([*keep, StructField(out, BinaryType())]))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -307,11 +297,11 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
         import pyarrow as pa
 
         bpe = loaded(Bpe, spec.value)
-        for b in batches:
+        for b in pieces(batches, ids, BYTES):
             texts = [bpe.decode(x or b"").decode() for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(texts, pa.string())], names=[f.name for f in keep] + [out])
 
-    return rows.select(*(f.name for f in keep)).mapInArrow(run, StructType([*keep, StructField(out, StringType())]))
+    return rows.select(*(f.name for f in keep)).mapInArrow(frugal(run), StructType([*keep, StructField(out, StringType())]))
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -327,17 +317,15 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "tex
         import pyarrow as pa
 
         bpe = loaded(Bpe, spec.value)
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, j in slices(texts):
-                found = bpe.encode_batch(texts[i:j])
-                columns = [b.column("id").slice(i, j - i), pa.array([len(ids) // 4 for ids in found], pa.int64())]
-                columns.append(pa.array([hashlib.sha256(ids).hexdigest() for ids in found], pa.string()))
-                columns.append(pa.array([hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in found], pa.string()))
-                columns += [pa.array(found, pa.binary())] * with_ids
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        for b in pieces(batches, "text", BYTES):
+            found = bpe.encode_batch(b.column("text").to_pylist())
+            columns = [b.column("id"), pa.array([len(ids) // 4 for ids in found], pa.int64())]
+            columns.append(pa.array([hashlib.sha256(ids).hexdigest() for ids in found], pa.string()))
+            columns.append(pa.array([hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in found], pa.string()))
+            columns += [pa.array(found, pa.binary())] * with_ids
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return docs.selectExpr(f"`{id_col}` as id", f"`{text}` as text").mapInArrow(run, schema)
+    return docs.selectExpr(f"`{id_col}` as id", f"`{text}` as text").mapInArrow(frugal(run), schema)

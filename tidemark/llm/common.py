@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -38,6 +40,43 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def pieces(batches: Iterator, column: str, size: int) -> Iterator:
+    """The rows of Arrow batches, about `size` bytes of a text column at a time (one row at least).
+
+    Only so much becomes Python objects at once, however large the batches are.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        end = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0), np.int64))
+        at = 0
+        while at < b.num_rows:
+            done = int(end[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(end, done + size, side="right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which the worker gives unused memory back: workers outlive their tasks, and share an executor."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches.
 

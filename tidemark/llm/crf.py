@@ -15,6 +15,8 @@ from operator import eq
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.llm.common import frugal, pieces
+
 #: The bounds of the training sample: labelled documents, and lines of each that are learned from (evenly spread).
 DOCUMENTS, LINES = 3000, 400
 FOLDS, HELD_OUT = 5, 0
@@ -25,6 +27,8 @@ OWN = 12
 FEATURES = 3 * OWN + 3
 #: Share of bad text below which documents are told apart by degrees only.
 LEAST = 1e-3
+#: Bytes of text whose lines are held at a time.
+BYTES = 4_000_000
 
 
 def _classes():
@@ -238,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = DOCUMENTS, seed:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in pieces(batches, "text", BYTES):
             x, size, starts = features(b.column("text").to_pylist())
             out = []
             for i, j in zip(starts[:-1], starts[1:], strict=True):
@@ -248,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = DOCUMENTS, seed:
 
     # The labels in the sample are bounded by `documents`, so they can go to every task and the texts stay in place.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
-    rows = sorted((r.doc_id, bytes(r.lines), r.quality) for r in rows.mapInArrow(run, "doc_id long, quality int, lines binary").collect())
+    rows = sorted((r.doc_id, bytes(r.lines), r.quality) for r in rows.mapInArrow(frugal(run), "doc_id long, quality int, lines binary").collect())
     lines = [np.frombuffer(x, "<f4").reshape(-1, FEATURES + 1) for _, x, _ in rows]
     starts = np.append(0, np.cumsum([len(x) for x in lines], dtype=int)) if lines else np.zeros(1, int)
     both = np.concatenate(lines) if lines else np.zeros((0, FEATURES + 1), np.float32)
@@ -259,20 +263,16 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     """docs with the column `out`: the quality score of `text`, from 0 to 1. Rows stay in place."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    from tidemark.llm.bpe import slices
-
     keep = [f for f in docs.schema.fields if f.name != out]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
-            texts = b.column(text).to_pylist()
-            for i, j in slices(texts, 4_000_000):
-                some = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*(some.column(f.name) for f in keep), pa.array(model.scores(texts[i:j]), pa.float64())], names=[f.name for f in keep] + [out])
+        for b in pieces(batches, text, BYTES):
+            scores = pa.array(model.scores(b.column(text).to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), scores], names=[f.name for f in keep] + [out])
 
-    return docs.select(*(f.name for f in keep)).mapInArrow(run, StructType([*keep, StructField(out, DoubleType())]))
+    return docs.select(*(f.name for f in keep)).mapInArrow(frugal(run), StructType([*keep, StructField(out, DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -14,6 +14,8 @@ from html import unescape
 
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import frugal, pieces
+
 #: Frequent function words of English, German, French and Spanish.
 STOP = frozenset(
     """
@@ -234,9 +236,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in pieces(batches, "html", 4_000_000):
             texts = [extract(h) for h in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(frugal(run), f"page_id {kind}, url string, text string, n_chars long")

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import components, settle, star_links, stored
+from tidemark.llm.common import components, frugal, settle, star_links, stored
 from tidemark.llm.vectors import matrix, usable
 
 COSINE = 0.98
@@ -73,7 +73,7 @@ def describe(vectors: DataFrame, pivots: list[list[float]], nearest: int = NEARE
                         out[r] = x
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.list_(pa.int32()))], names=[*names, "pivots"])
 
-    return vectors.mapInArrow(run, StructType([*vectors.schema.fields, StructField("pivots", ArrayType(IntegerType()))]))
+    return vectors.mapInArrow(frugal(run), StructType([*vectors.schema.fields, StructField("pivots", ArrayType(IntegerType()))]))
 
 
 def signatures(perms):
@@ -177,7 +177,7 @@ def near_vectors(classes: DataFrame, pivots: list[list[float]], cosine: float =
                 v = np.concatenate(v)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(v, mask=v < 0), pa.array(np.concatenate(n))], names=["u", "v", "n"])
 
-    return pairs.select("pivot", "own", "block", "left", "right").mapInArrow(run, "u long, v long, n long")
+    return pairs.select("pivot", "own", "block", "left", "right").mapInArrow(frugal(run), "u long, v long, n long")
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import components, settle, star_links
+from tidemark.llm.common import components, frugal, pieces, settle, star_links
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = bytes([32, *range(9, 14)])
@@ -55,11 +55,11 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = 3, out: str = "fp
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in pieces(batches, text, 4_000_000):
             fp = np.array([fingerprint(t, k) for t in b.column(text).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(fp)], names=[f.name for f in keep] + [out])
 
-    return docs.select(*(f.name for f in keep), text).mapInArrow(run, schema)
+    return docs.select(*(f.name for f in keep), text).mapInArrow(frugal(run), schema)
 
 
 def _quarters(fp: str) -> list[Column]:
@@ -114,7 +114,7 @@ def links(distinct: DataFrame, fp: str = "fp", radius: int = 3) -> DataFrame:
             uv = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(uv[0]), pa.array(uv[1])], names=["u", "v"])
 
-    return pairs.mapInArrow(compare, "u long, v long")
+    return pairs.mapInArrow(frugal(compare), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 3, radius: int = 3) -> DataFrame:

@@ -12,8 +12,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.llm.bpe import PLAIN, SPLIT, Words, lay, loaded, read_spec, slices
-from tidemark.llm.common import work_dir
+from tidemark.llm.bpe import PLAIN, SPLIT, Words, lay, loaded, read_spec
+from tidemark.llm.common import frugal, pieces, work_dir
 
 MAGIC = b"TMB1"
 #: magic, bits of an id, ids in a block, ids, documents, blocks
@@ -23,8 +23,8 @@ BLOCK, FILE = 1 << 14, 1 << 20
 END = 2
 #: Marks that often follow a word; each is a piece of its own behind letters.
 MARKS = ".,;:!?"
-#: Words that the library is asked for at a time, and about how many characters are encoded together.
-TOGETHER, CHARS = 500, 24_000_000
+#: Words that the library is asked for at a time, and bytes of text that are encoded together.
+TOGETHER, BYTES = 500, 16_000_000
 
 
 def width(vocabulary: int) -> int:
@@ -191,19 +191,17 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
         def full():
             return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([before]), pa.array([size]), pa.array([write_file(held, bits)], pa.binary())], names=names)
 
-        for b in batches:
-            names_of, texts = b.column("id").to_pylist(), b.column("text").to_pylist()
-            for i, j in slices(texts, CHARS):
-                for name, ids in zip(names_of[i:j], library.encode_batch(texts[i:j]), strict=True):
-                    held.append((name, ids + end.to_bytes(4, "little")))
-                    size += len(ids) // 4 + 1
-                    if size >= FILE:
-                        yield full()
-                        number, before, held, size = number + 1, before + size, [], 0
+        for b in pieces(batches, "text", BYTES):
+            for name, ids in zip(b.column("id").to_pylist(), library.encode_batch(b.column("text").to_pylist()), strict=True):
+                held.append((name, ids + end.to_bytes(4, "little")))
+                size += len(ids) // 4 + 1
+                if size >= FILE:
+                    yield full()
+                    number, before, held, size = number + 1, before + size, [], 0
         if held:
             yield full()
 
-    ordered.mapInArrow(run, "part long, number long, before long, n_ids long, data binary").write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(frugal(run), "part long, number long, before long, n_ids long, data binary").write.option("compression", "zstd").parquet(path)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -240,7 +238,7 @@ def _read(spark: SparkSession, path: str, id_col: str, make, column: str) -> Dat
                     names=[id_col, "start", "n_tokens", name],
                 )
 
-    return files(spark, path).select("start", "data").mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, {column}")
+    return files(spark, path).select("start", "data").mapInArrow(frugal(run), f"`{id_col}` long, start long, n_tokens long, {column}")
 
 
 def checksums(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:

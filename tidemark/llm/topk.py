@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import frugal, stored
 from tidemark.llm.vectors import matrix, usable
 
 SCALE = 256
@@ -128,7 +128,7 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
                 small = [pa.array([x.tobytes()], pa.binary()) for x in (codes, low, high)]
                 yield pa.RecordBatch.from_arrays([b.column("dim").slice(r, 1), b.column("block").slice(r, 1), pa.array([np.asarray(held.field("id"))]), pa.array([matrix(held.field("v"), "i8").ravel()]), *small], names=["dim", "block", "ids", "exact", "codes", "low", "high"])
 
-    files = stored(blocks(base, ROWS).mapInArrow(approximate, "dim int, block int, ids array<long>, exact array<long>, codes binary, low binary, high binary"), "cells")
+    files = stored(blocks(base, ROWS).mapInArrow(frugal(approximate), "dim int, block int, ids array<long>, exact array<long>, codes binary, low binary, high binary"), "cells")
     ask = stored(blocks(asked, QUERIES).select("dim", F.col("block").alias("part"), F.col("rows").alias("queries")), "queries")
     # The stated query set against all rows, in blocks: each block of rows goes to every block of queries once.
     parts = ask.groupBy("dim").agg(F.collect_set("part").alias("parts"))
@@ -157,6 +157,6 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
                 scores = [int(s) for _, _, x in found for s in x]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _, _ in found])), pa.array(np.concatenate([x for _, x, _ in found])), pa.array(scores, pa.int64())], names=["query_id", "id", "score"])
 
-    best = work.select("dim", "ids", "exact", "codes", "low", "high", "queries").mapInArrow(run, "query_id long, id long, score long")
+    best = work.select("dim", "ids", "exact", "codes", "low", "high", "queries").mapInArrow(frugal(run), "query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
