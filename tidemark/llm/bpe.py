@@ -20,7 +20,7 @@ from tidemark.llm.common import frugal, pieces
 #: capital I with a dot is left out: in lower case it is two characters.)
 PLAIN = r"[\t-\r -~\xa0-įı-ɏ]*"
 #: Words that a Python worker remembers, and words that are encoded together.
-REMEMBERED, TOGETHER = 1_000_000, 200_000
+REMEMBERED, TOGETHER = 600_000, 200_000
 #: Bytes of text that are encoded together.
 BYTES = 6_000_000
 #: The split pattern and the normalisation that this encoder knows (fixed values of the tokenizer files).
