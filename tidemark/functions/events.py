@@ -40,11 +40,6 @@ def bucket_of(salt: str, experiment: str, user: str, buckets: int = S.BUCKETS) -
     return int.from_bytes(hashlib.sha256(f"{salt}:{experiment}:{user}".encode()).digest()[:8], "big") % buckets
 
 
-def payload(columns=tuple(S.EVENT_COLUMNS)) -> Column:
-    """The content of a row as text, for comparing rows with one id: typed values in a fixed order, nulls told apart."""
-    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-
-
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))))
 

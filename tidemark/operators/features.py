@@ -7,13 +7,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemark import schemas as S
 from tidemark.functions.events import EXACT, action_weight
 
-#: A catalogue of so many items at most is sent to every task; a larger one is joined by shuffle.
-CATALOGUE = 200_000
+#: A table of so many bytes at most, by Catalyst's own estimate, is sent to every task; a larger one is shuffled.
+SMALL = 64 << 20
 
 
-def small(items: DataFrame, most: int = CATALOGUE) -> DataFrame:
-    """items with a broadcast hint, if a count says that it has at most `most` rows."""
-    return F.broadcast(items) if items.limit(most + 1).count() <= most else items
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df with a broadcast hint, if its estimated size allows it. What has no estimate is left to adaptive execution."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out to all shuffle partitions. Few bytes that much work hangs on would else be gathered into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def visible(requests: DataFrame, events: DataFrame) -> DataFrame:
@@ -55,8 +61,15 @@ def recent_items(seen: DataFrame, items: DataFrame, n: int = S.RECENT) -> DataFr
 def user_features(requests: DataFrame, events: DataFrame, items: DataFrame) -> DataFrame:
     """request_id, user_id, as_of, genre_affinity (a map), recent_items, event_count of every request."""
     seen = visible(requests, events)
-    maps = affinities(seen, items).groupBy("request_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("genre", "affinity")))).alias("genre_affinity"))
-    joined = requests.join(event_counts(seen), "request_id", "left").join(maps, "request_id", "left").join(recent_items(seen, items), "request_id", "left")
+    # One pass for weights and counts: an event is counted with its first genre, or as a row without any.
+    part = (action_weight() / F.greatest(F.size("genres"), F.lit(1))).cast(EXACT)
+    each = seen.join(small(items.select("item_id", "genres")), "item_id", "left").select("request_id", part.alias("w"), F.posexplode_outer("genres").alias("pos", "genre"))
+    sums = each.groupBy("request_id", "genre").agg(F.sum("w").alias("w"), F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, 1).otherwise(0)).alias("n"))
+    total = F.sum(F.when(F.col("genre").isNotNull(), F.abs("w"))).over(Window.partitionBy("request_id"))
+    scale = F.greatest(F.coalesce(total.cast("double"), F.lit(0.0)), F.lit(1.0))
+    entry = F.when(F.col("genre").isNotNull(), F.struct("genre", F.round(F.col("w").cast("double") / F.col("scale"), 6).alias("affinity")))
+    maps = sums.withColumn("scale", scale).groupBy("request_id").agg(F.sum("n").alias("event_count"), F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("genre_affinity"))
+    joined = requests.join(maps, "request_id", "left").join(recent_items(seen, items), "request_id", "left")
     return joined.select(
         "request_id",
         "user_id",

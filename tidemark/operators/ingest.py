@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import schemas as S
-from tidemark.functions.events import payload
 
 
 class ConflictError(ValueError):
@@ -74,7 +73,7 @@ def validate(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def conflicts(events: DataFrame, key: str = "event_id") -> DataFrame:
     """Ids with more than one content, among the events at hand and those stored, which events must hold together."""
-    return events.select(key, payload().alias("p")).groupBy(key).agg(F.count_distinct("p").alias("contents")).filter("contents > 1")
+    return events.select(S.EVENT_COLUMNS).distinct().groupBy(key).agg(F.count("*").alias("contents")).filter("contents > 1")
 
 
 @dataclass(frozen=True)

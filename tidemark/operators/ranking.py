@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import schemas as S
 from tidemark.operators.experiments import assign
-from tidemark.operators.features import popularity_scores, small, user_features
+from tidemark.operators.features import popularity_scores, small, spread, user_features
 
 
 def times_of(requests: DataFrame) -> list[float]:
@@ -22,7 +22,7 @@ def candidates(features: DataFrame, items: DataFrame) -> DataFrame:
     Scoring is defined for each user and item. The catalogue is the small side: it is sent to the requests, and what
     was consumed is left out on the spot, without an exploded copy or a second join.
     """
-    return features.join(small(items), ~F.array_contains("recent_items", F.col("item_id")))
+    return spread(features, "request_id").join(small(items), ~F.array_contains("recent_items", F.col("item_id")))
 
 
 def taste(genres: str = "genres", affinity: str = "genre_affinity") -> Column:

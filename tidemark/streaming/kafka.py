@@ -6,7 +6,7 @@ invalid goes to a reject table with its reason. Tables are Delta where that is i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark import schemas as S
 
@@ -34,31 +34,38 @@ def bronze_columns(records: DataFrame) -> DataFrame:
     return records.select("topic", "partition", "offset", F.col("timestamp").alias("broker_time"), F.col("key").cast("string").alias("message_key"), F.col("value").cast("string").alias("raw_json"))
 
 
-def parse_wire(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events, rejects) of the column raw_json, other columns kept. A bad time is a reason, not a failure."""
-    event = F.from_json("raw_json", S.WIRE)
-    rows = bronze.withColumn("event", event).withColumn("_time", F.try_to_timestamp("event.event_time"))
+def _verdict(x: Column) -> Column:
+    """The parsed event with its time, and why it is invalid, or null; x has the event and the names of its fields."""
+    e = x["event"]
+    time = F.try_to_timestamp(e["event_time"])
     known = F.array(*(F.lit(f.name) for f in S.WIRE))
-    missing = F.filter(F.array(*(F.when(F.col(f"event.{c}").isNull(), F.lit(c)) for c in S.WIRE_REQUIRED)), lambda x: x.isNotNull())
-    names = ("event_id", "user_id", "item_id", "session_id", "trace_id")
-    lengths = [~F.coalesce(F.length(f"event.{c}"), F.lit(1)).between(0 if c in ("session_id", "trace_id") else 1, S.ID_LENGTH) for c in names]
-    too_long = lengths[0]
-    for x in lengths[1:]:
-        too_long = too_long | x
+    missing = F.filter(F.array(*(F.when(e[c].isNull(), F.lit(c)) for c in S.WIRE_REQUIRED)), lambda c: c.isNotNull())
+    wrong_length = F.lit(False)
+    for c in ("event_id", "user_id", "item_id", "session_id", "trace_id"):
+        least = 0 if c in ("session_id", "trace_id") else 1
+        wrong_length = wrong_length | ~F.coalesce(F.length(e[c]), F.lit(1)).between(least, S.ID_LENGTH)
     reason = (
-        F.when(F.json_object_keys("raw_json").isNull(), "not a JSON object")
-        .when(F.size(F.array_except(F.json_object_keys("raw_json"), known)) > 0, "unknown fields")
+        F.when(x["names"].isNull(), "not a JSON object")
+        .when(F.size(F.array_except(x["names"], known)) > 0, "unknown fields")
         .when(F.size(missing) > 0, F.concat(F.lit("missing fields: "), F.array_join(missing, ", ")))
-        .when(F.col("event.schema_version") != 1, "unknown schema version")
-        .when(~F.col("event.action").isin(*S.ACTIONS), "invalid action")
-        .when(~F.col("event.watch_pct").between(0.0, 1.0), "watch_pct must be between 0 and 1")
-        .when(too_long, "a name is empty or too long")
-        .when(F.col("_time").isNull(), "invalid event_time")
+        .when(e["schema_version"] != 1, "unknown schema version")
+        .when(~e["action"].isin(*S.ACTIONS), "invalid action")
+        .when(~e["watch_pct"].between(0.0, 1.0), "watch_pct must be between 0 and 1")
+        .when(wrong_length, "a name is empty or too long")
+        .when(time.isNull(), "invalid event_time")
     )
-    rows = rows.withColumn("reason", reason)
+    return F.struct(e.alias("event"), time.alias("time"), reason.alias("reason"))
+
+
+def parse_wire(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects) of the column raw_json, other columns kept. A bad time is a reason, not a failure."""
+    # Bound to a variable, the parsed text is shared by all checks; as a column it would be parsed again for each.
+    parsed = F.struct(F.from_json("raw_json", S.WIRE).alias("event"), F.json_object_keys("raw_json").alias("names"))
+    rows = bronze.withColumn("_x", F.element_at(F.transform(F.array(parsed), _verdict), 1))
     kept = [c for c in bronze.columns if c != "raw_json"]
-    good = rows.filter("reason is null").select(*kept, "event.*", "_time").drop("event_time").withColumnRenamed("_time", "event_time")
-    return good, rows.filter("reason is not null").select(*bronze.columns, "reason")
+    names = [f.name for f in S.WIRE if f.name != "event_time"]
+    good = rows.filter("_x.reason is null").select(*kept, *(F.col(f"_x.event.{c}").alias(c) for c in names), F.col("_x.time").alias("event_time"))
+    return good, rows.filter("_x.reason is not null").select(*bronze.columns, F.col("_x.reason").alias("reason"))
 
 
 def silver_stream(bronze: DataFrame, watermark: str = "10 minutes") -> DataFrame:
