@@ -47,6 +47,11 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(part, target, options)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
 def read_json(spark: SparkSession, path: str, default: Any = None) -> Any:
     text = read_text(spark, path)
     return default if text is None else json.loads(text)
