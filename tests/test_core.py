@@ -161,6 +161,7 @@ def test_decisions(spark):
 def test_scans_push_filters_and_columns_down(spark, shop, tmp_path):
     shop[1].write.parquet(f"{tmp_path}/events")
     stored = spark.read.parquet(f"{tmp_path}/events")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = ing.scan(stored, "maya", 11_000.0, ordered=False).groupBy("user_id").count()._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(timestamp,11000.0)" in plan and "EqualTo(user_id,maya)" in plan
     assert "ReadSchema: struct<user_id:string,timestamp:double>" in plan
