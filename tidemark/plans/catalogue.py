@@ -205,44 +205,53 @@ def topk_slate(spark, sf):
     return rk.top_k(rows).select("request_id", "position", "item_id", "rank_score")
 
 
-@query(
-    "SELECT request_id, pos AS position, item_id, round(score, 9) AS score FROM v_step WHERE pos > 0",
-    """v_rounded AS (SELECT request_id, item_id, genres, round(rank_score, 9) AS rank_score FROM v_ranked),
-    v_step AS (
+def _slates(table: str) -> str:
+    """The greedy choice as a recursion: each step takes the best of what is left, given the genres shown so far."""
+    value = "c.rank_score - 0.075::DOUBLE * (list_sum(list_transform(c.genres, lambda g: len(list_filter(s.shown, lambda h: h = g)))) / len(c.genres))"
+    return f"""v_step AS (
       SELECT request_id, 0 AS pos, []::VARCHAR[] AS chosen, []::VARCHAR[] AS shown, ''::VARCHAR AS item_id, 0.0::DOUBLE AS score FROM v_requests
       UNION ALL
       SELECT request_id, pos + 1, list_append(chosen, x.item_id), list_concat(shown, x.genres), x.item_id, x.score FROM (
-        SELECT s.request_id, s.pos, s.chosen, s.shown,
-               first({'item_id': c.item_id, 'genres': c.genres, 'score': c.rank_score - 0.075::DOUBLE * (list_sum(list_transform(c.genres, lambda g: len(list_filter(s.shown, lambda h: h = g)))) / len(c.genres))}
-                 ORDER BY c.rank_score - 0.075::DOUBLE * (list_sum(list_transform(c.genres, lambda g: len(list_filter(s.shown, lambda h: h = g)))) / len(c.genres)) DESC, c.item_id) AS x
-        FROM v_step s JOIN v_rounded c ON c.request_id = s.request_id AND NOT list_contains(s.chosen, c.item_id)
-        WHERE s.pos < 12 GROUP BY s.request_id, s.pos, s.chosen, s.shown))""",
-)
+        SELECT s.request_id, s.pos, s.chosen, s.shown, first({{'item_id': c.item_id, 'genres': c.genres, 'score': {value}}} ORDER BY {value} DESC, c.item_id) AS x
+        FROM v_step s JOIN {table} c ON c.request_id = s.request_id AND NOT list_contains(s.chosen, c.item_id)
+        WHERE s.pos < 12 GROUP BY s.request_id, s.pos, s.chosen, s.shown))"""
+
+
+@query("SELECT request_id, pos AS position, item_id, round(score, 9) AS score FROM v_step WHERE pos > 0", "v_rounded AS (SELECT request_id, item_id, genres, round(rank_score, 9) AS rank_score FROM v_ranked), " + _slates("v_rounded"))
 def greedy_slate(spark, sf):
     rows = rounded(scored(spark, sf).select("request_id", "item_id", "genres", "rank_score"), "rank_score")
     return rounded(rk.diverse_slate(rows), "score")
 
 
-@query(
-    """SELECT request_id, item_id, CASE WHEN reasons = '' THEN 'Highly rated for discovery' ELSE reasons END AS reasons FROM (
-         SELECT s.request_id, s.item_id, array_to_string(list_filter([
-             CASE WHEN b.a > 0 THEN 'Matches your interest in ' || b.genre END, CASE WHEN freshness > 0.78 THEN 'Fresh release' END,
-             CASE WHEN plays > 2 THEN 'Trending now' END], lambda x: x IS NOT NULL)[1:2], '; ') AS reasons
-         FROM v_scored s JOIN v_best b USING (request_id, item_id))""",
-    """v_best AS (
-      SELECT request_id, item_id, genre, a FROM (
-        SELECT c.request_id, c.item_id, g.genre, coalesce(f.affinity, 0) AS a,
-               row_number() OVER (PARTITION BY c.request_id, c.item_id ORDER BY coalesce(f.affinity, 0) DESC, list_position(c.genres, g.genre)) AS n
-        FROM v_candidates c JOIN v_genres g USING (item_id) LEFT JOIN v_affinity f ON f.request_id = c.request_id AND f.genre = g.genre) WHERE n = 1)""",
-)
+REASONS = """
+v_best AS (
+  SELECT request_id, item_id, genre, a FROM (
+    SELECT c.request_id, c.item_id, g.genre, coalesce(f.affinity, 0) AS a,
+           row_number() OVER (PARTITION BY c.request_id, c.item_id ORDER BY coalesce(f.affinity, 0) DESC, list_position(c.genres, g.genre)) AS n
+    FROM v_candidates c JOIN v_genres g USING (item_id) LEFT JOIN v_affinity f ON f.request_id = c.request_id AND f.genre = g.genre) WHERE n = 1),
+v_reasons AS (
+  SELECT request_id, item_id, CASE WHEN reasons = '' THEN 'Highly rated for discovery' ELSE reasons END AS reasons FROM (
+    SELECT s.request_id, s.item_id, array_to_string(list_filter([
+        CASE WHEN b.a > 0 THEN 'Matches your interest in ' || b.genre END, CASE WHEN freshness > 0.78 THEN 'Fresh release' END,
+        CASE WHEN plays > 2 THEN 'Trending now' END], lambda x: x IS NOT NULL)[1:2], '; ') AS reasons
+    FROM v_scored s JOIN v_best b USING (request_id, item_id)))"""
+
+
+@query("SELECT request_id, item_id, reasons FROM v_reasons", REASONS)
 def reasons(spark, sf):
     return scored(spark, sf).select("request_id", "item_id", F.array_join(rk.reasons(), "; ").alias("reasons"))
 
 
-@query()
+@query(
+    """SELECT request_id, pos AS position, item_id, round(s.score, 9) AS score, round(retrieval_score, 9) AS retrieval_score, round(rank_score, 9) AS rank_score,
+              reasons, variant, 'heuristic' AS serving_mode
+       FROM v_step s JOIN v_ranked r USING (request_id, item_id) JOIN v_reasons USING (request_id, item_id) WHERE pos > 0""",
+    f"{_slates('v_ranked')}, {REASONS}",
+)
 def recommendations(spark, sf):
     r, e, i = requests_and_features(spark, sf)
-    return rk.recommend(r, e, i).select("request_id", "position", "item_id", "score", "retrieval_score", "rank_score", F.array_join("reasons", "; ").alias("reasons"), "variant", "serving_mode")
+    rows = rk.recommend(r, e, i).select("request_id", "position", "item_id", "score", "retrieval_score", "rank_score", F.array_join("reasons", "; ").alias("reasons"), "variant", "serving_mode")
+    return rounded(rows, "score", "retrieval_score", "rank_score")
 
 
 # Experiments
@@ -361,6 +370,20 @@ def gold_verify_diff(spark, sf):
     return lake.differences(g, g.filter("affinity >= 0"))
 
 
+@query("SELECT event_id, timestamp < watermark AS repaired FROM v_marked", LAKE)
+def lake_run(spark, sf):
+    """The lake itself, in four batches, repaired and verified: its silver table."""
+    from tidemark.sources.tables import work_dir
+    from tidemark.streaming.medallion import Medallion
+
+    log = v.log(spark, sf)
+    m = Medallion(spark, work_dir(spark, "lake"), v.items(spark, sf), v.ALLOWED_LATENESS)
+    m.run_all(log, -(-log.count() // 4))
+    m.repair_late()
+    m.verify()
+    return m.silver().select("event_id", "repaired")
+
+
 @query("SELECT event_id, user_id, item_id, action, round(timestamp, 3) AS timestamp, watch_pct FROM v_events WHERE action <> 'skip'")
 def wire_parse(spark, sf):
     """Events through their wire form: JSON with RFC 3339 times, of which one action is made invalid."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 
 from pyspark.sql import SparkSession
@@ -26,6 +27,9 @@ def build(name: str = "tidemark", master: str | None = None, **conf: str) -> Spa
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
+    if importlib.util.find_spec("delta"):  # tables are Delta where it is installed
+        settings["spark.sql.extensions"] = "io.delta.sql.DeltaSparkSessionExtension"
+        settings["spark.sql.catalog.spark_catalog"] = "org.apache.spark.sql.delta.catalog.DeltaCatalog"
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return prepare(builder.getOrCreate())

@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder: later steps read it, and a lost executor costs no repetition.
-
-    The folder is the one that spark.checkpoint.dir names; one of our own serves only where none is named.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own serves only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
+    return named or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder: later steps read it, and a lost executor costs no repetition."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
