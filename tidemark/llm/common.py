@@ -3,34 +3,17 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.sources.tables import settle, work_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
-    return named or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+__all__ = ["components", "frugal", "pieces", "settle", "star_links", "stored", "table", "work_dir"]
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, for a table that an operator writes and rereads."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows are in the shared folder, so a lost executor costs nothing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
