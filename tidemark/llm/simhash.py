@@ -130,9 +130,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     prints = settle(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", k))
     distinct = settle(prints.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(distinct, "fp", radius))
-    known = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    known = settle(known)
-    # Only components of two or more fingerprints need their smallest id gathered.
-    gathered = known.join(known.filter("root <> fp").select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("least").alias("all_least"))
-    classes = known.join(gathered, "root", "left").select("fp", F.coalesce("all_least", "least").alias("component_id"))
+    # Only linked fingerprints meet by their component, first in each task, so a large component isn't gathered.
+    linked = settle(distinct.join(roots, distinct.fp == roots.node).select("fp", "least", "root"))
+    gathered = linked.groupBy("root").agg(F.min("least").alias("all_least"))
+    found = linked.join(gathered, "root").select("fp", "all_least")
+    # Settled, so that the last join reads both sides from plain exchanges, whose large partitions Spark can split.
+    classes = settle(distinct.join(found, "fp", "left").select("fp", F.coalesce("all_least", "least").alias("component_id")))
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
