@@ -45,11 +45,17 @@ def _blocked(queries: DataFrame, items: DataFrame, k: int, rows: int = 8192, ask
                 v = np.asarray(own.field("v").flatten(), "f8").reshape(-1, dim)
                 q = np.asarray(ask.field("q").flatten(), "f8").reshape(-1, dim)
                 score = np.round(q @ v.T + np.asarray(own.field("bias"), "f8"), PLACES)
-                order = own.field("item_id").to_pylist()
-                by_name = np.array(sorted(range(len(order)), key=order.__getitem__))
-                top = by_name[np.argsort(-score[:, by_name], axis=1, kind="stable")[:, :k]]
+                names = own.field("item_id").to_pylist()
+                by_name = np.array(sorted(range(len(names)), key=names.__getitem__))
+                score = score[:, by_name]
+                most = min(k, len(names))
+                least = -np.partition(-score, most - 1, axis=1)[:, most - 1]
+                top = np.empty((len(q), most), np.int64)
+                for x in range(len(q)):  # whatever reaches the kth score, in the order of names: ties go to the first
+                    fit = np.flatnonzero(score[x] >= least[x])
+                    top[x] = fit[np.argsort(-score[x, fit], kind="stable")[:most]]
                 yield pa.RecordBatch.from_arrays(
-                    [ask.field("query_id").take(pa.array(np.repeat(np.arange(len(q)), top.shape[1]))), own.field("item_id").take(pa.array(top.ravel())), pa.array(np.take_along_axis(score, top, 1).ravel())],
+                    [ask.field("query_id").take(pa.array(np.repeat(np.arange(len(q)), top.shape[1]))), own.field("item_id").take(pa.array(by_name[top.ravel()])), pa.array(np.take_along_axis(score, top, 1).ravel())],
                     names=["query_id", "item_id", "score"],
                 )
 
