@@ -49,3 +49,19 @@ def test_bounds_hold():
     rng = np.random.default_rng(3)
     v, q = rng.integers(-256, 256, (500, 9)).astype(float), rng.integers(-256, 256, (20, 9)).astype(float)
     assert (topk.upper_bounds(*topk.quantise(v), q) >= q @ v.T).all()
+
+
+def test_many_equal_vectors():
+    """Copies share one bound, at the cut of every round: no id may come twice, and the smallest must come."""
+    rng = np.random.default_rng(5)
+    v = rng.integers(-256, 256, (topk.ROWS, 16)).astype(float)
+    copies = rng.choice(topk.ROWS, 3000, replace=False)
+    v[copies] = 255.0 * np.sign(v[copies[0]])
+    ids = rng.permutation(topk.ROWS).astype(np.int64)
+    q = np.concatenate([v[copies[:5]], rng.integers(-256, 256, (30, 16)).astype(float)])
+    q_ids = np.concatenate([ids[copies[:5]], np.arange(30) + topk.ROWS])
+    found = topk.search(ids, v, *topk.quantise(v), q_ids, q, 5)
+    assert len(found) == len(q)
+    for (_, got, scores), i, x in zip(found, q_ids, q):
+        want = sorted((-float(v[r] @ x), int(ids[r])) for r in range(len(ids)) if ids[r] != i)[:5]
+        assert [(-s, n) for s, n in zip(scores, got)] == want

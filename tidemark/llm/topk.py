@@ -65,13 +65,14 @@ def search(ids, vectors, codes, low, high, query_ids, queries, k: int):
         best_ids, best = np.empty(0, np.int64), np.empty(0)
         read = 0
         while read < left:
-            # The next best bounds; each round reads twice as many as all before, so ordering stays cheap.
+            # The best bounds not read yet; each round reads twice as many as all before, so ordering stays cheap. Rows
+            # that were read leave the bounds: where bounds tie, another partition would pick others of them.
             n = min(left, max(STEP, 2 * read))
-            order = np.argpartition(-bound, n - 1)[:n] if n < len(bound) else np.argsort(-bound)[:left]
-            order = order[np.argsort(-bound[order], kind="stable")]
-            fresh = order[read:n]
+            fresh = np.argpartition(-bound, n - read - 1)[: n - read]
+            fresh_bound = bound[fresh]
+            bound[fresh] = -np.inf
             if len(best) >= k:
-                fresh = fresh[bound[fresh] >= best[k - 1]]  # a bound that only ties may still win by its id
+                fresh = fresh[fresh_bound >= best[k - 1]]  # a bound that only ties may still win by its id
                 if not len(fresh):
                     break
             score = vectors[fresh] @ query
