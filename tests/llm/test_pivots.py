@@ -78,6 +78,23 @@ def test_recall_against_brute_force(spark):
     assert found.join(exact.withColumnRenamed("n_links", "m"), "vec_id").filter("n_links > m").count() == 0
 
 
+def test_recall_in_a_dense_group(spark):
+    """Half of the rows are near copies of one vector, not exact ones; they must not be each other's pivots."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(6000, 64))
+    v[::2] = v[0] + 0.13 * rng.normal(size=(3000, 64))
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], SCHEMA).cache()
+    chosen = np.array(pivots.choose_pivots(df.selectExpr("embedding as vector"), len(v)))
+    chosen /= np.linalg.norm(chosen, axis=1, keepdims=True)
+    assert len(chosen) == int(len(v) ** 0.5)
+    assert (chosen @ chosen.T - 2 * np.eye(len(chosen))).max() < pivots.APART
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    n = (unit @ unit.T >= 0.98).sum(1) - 1
+    exact = spark.createDataFrame([(i, int(k)) for i, k in enumerate(n)], "vec_id long, n_links long")
+    assert n.sum() > 1_000_000
+    assert pivots.recall(pivots.near_duplicates(df), exact) >= 0.999
+
+
 def test_empty(spark):
     assert pivots.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     assert len(pivots.near_duplicates(spark.createDataFrame([(1, None, 1)], SCHEMA)).collect()) == 1

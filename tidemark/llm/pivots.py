@@ -1,6 +1,7 @@
 """Near-duplicate embeddings by a pivot permutation index.
 
-A bounded sample of the vectors serves as pivots. Every vector is described by its nearest pivots in order, and stands
+A bounded sample of the vectors, no two of them close, serves as pivots: a dense group of near copies has one of them,
+and its members agree on the rest, which they would not on a choice among each other. Every vector is described by its nearest pivots in order, and stands
 in the inverted list of each. Two vectors that share at least SHARED of their NEAREST pivots are candidates, found in
 the list of the first pivot that they share and nowhere else, and verified by their cosine in double precision. Lists
 are cut into blocks that meet two at a time, so a list of any length is compared whole and never held by one task.
@@ -22,17 +23,32 @@ COSINE = 0.98
 NEAREST, SHARED = 8, 2
 #: Pivots: the square root of the number of vectors within these bounds, so the index can be sent to every task.
 PIVOTS = (64, 4096)
+#: Pivots have a lower cosine than this with each other, and are chosen from so many times their number of vectors.
+APART, POOL = 0.9, 4
 BLOCK, GROUP = 1024, 64
 #: Bits of the signature that bounds shared-pivot counts from above.
 SIGNATURE = 256
 
 
 def choose_pivots(vectors: DataFrame, n: int) -> list[list[float]]:
-    """A sample that depends on the vectors alone: those with the smallest hashes."""
+    """A sample that depends on the vectors alone: those with the smallest hashes, without any that is near another."""
+    import numpy as np
+
     lo, hi = PIVOTS
     m = min(hi, max(lo, int(n**0.5)))
-    rows = vectors.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(m).collect()
-    return [[float(x) for x in r.vector] for r in rows]
+    rows = vectors.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(POOL * m).collect()
+    pool = [np.array(r.vector, float) for r in rows]
+    kept = {len(p): np.empty((0, len(p))) for p in pool}
+    chosen: list[list[float]] = []
+    for p in pool:
+        if len(chosen) == m:
+            break
+        unit = p / np.abs(p).max()
+        unit = unit / np.linalg.norm(unit)
+        if (kept[len(p)] @ unit).max(initial=-1) < APART:
+            kept[len(p)] = np.vstack([kept[len(p)], unit])
+            chosen.append([float(x) for x in p])
+    return chosen
 
 
 def describe(vectors: DataFrame, pivots: list[list[float]], nearest: int = NEAREST) -> DataFrame:
