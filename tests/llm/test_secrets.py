@@ -63,6 +63,29 @@ def test_models_on_unseen_samples():
     assert sum(right(secrets.ordinary_sample(seed=8))) < 0.01 * secrets.SAMPLE
 
 
+UNSEEN = """
+amount anchor balance bridge campaign carrier crawler daemon decoder domain editor factor forecast gateway gradient
+harvest horizon inbox journal kernel keyword latency ledger matrix merchant mirror notebook observer operator outlet
+passenger pipeline prompt quarter quiz quorum quote radius receiver recipe replica revenue rollback sandbox scanner
+sector sensor shipment shuffle snapshot socket spark survey swap teacher tenant terminal ticket timeout topic tuple
+tutorial underline undo universe vacation validator vault vehicle verify voucher wallet warehouse wave website winter
+workflow workspace xray yellow yesterday yield zebra zenith zigzag zip
+""".split()
+
+
+def test_models_on_unseen_words(monkeypatch):
+    """Names of words from the whole alphabet, none of which the models were trained on."""
+    assert not set(UNSEEN) & set(secrets.NAME_PARTS)
+    assert {w[0] for w in secrets.NAME_PARTS} >= set("qrstuvwyz")
+    secrets.ratios()
+    flagged = lambda xs: sum(score(x) > secrets.THRESHOLD * (len(x) - 1) for x in xs) / len(xs)
+    judged = lambda xs: [x for x in xs if re.search("[0-9]", x) and re.search("[A-Za-z]", x) and re.fullmatch(secrets.CANDIDATE, x)]
+    monkeypatch.setattr(secrets, "NAME_PARTS", UNSEEN)
+    assert flagged(judged(secrets.ordinary_sample(20_000, seed=11))) < 0.01
+    monkeypatch.setattr(secrets, "NAME_PARTS", [w for w in UNSEEN if w >= "q"])
+    assert flagged(judged(secrets.ordinary_sample(20_000, seed=12))) < 0.01
+
+
 def test_no_python_in_the_plan(spark):
     plan = secrets.find_secrets(spark.createDataFrame([(1, "a")], "doc_id long, text string").selectExpr("*"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

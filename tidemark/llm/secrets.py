@@ -41,6 +41,14 @@ history image import index info input install instance interface internal invali
 layout level library limit link list listener load local location log login main manager map master max member memory
 message method metric middle min mode model module monitor name network next node number object offset option order
 output owner package page parameter parent partition password path payment pending plugin point policy port position
+prefix preview price primary process product profile project property provider proxy public quality quantity query queue
+quick quota random range rate read record redirect reference region register release remote render report request
+resource response result retry return role root route row rule sample schema scope screen search section secure segment
+select sequence server service session setting shared signal simple size source space stage start state static status
+storage stream string style subject submit success summary switch symbol sync system table target task template test
+text theme thread time title token tool total trace track traffic transaction transfer tree trigger type unique unit
+unknown update upload usage user utility valid value variable vector vendor version video view virtual visible volume
+wait warning watch weight widget width window wizard word worker wrapper write year zero zone zoom
 """.split()
 
 
