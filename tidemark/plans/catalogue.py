@@ -511,7 +511,7 @@ def four_way_evaluation(spark, sf):
     """Popularity, heuristic, two-tower retrieval and the learned ranker on the test items, after training."""
     from tidemark.ml import training
 
-    return training.train(v.events(spark, sf), v.items(spark, sf), dimensions=8, epochs=6).evaluation
+    return training.train(v.events(spark, sf), v.items(spark, sf)).evaluation
 
 
 # Retrieval, drift, serving
