@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.sources.tables import settle, work_dir
 
-__all__ = ["components", "frugal", "pieces", "settle", "star_links", "stored", "table", "work_dir"]
+__all__ = ["components", "frugal", "pieces", "settle", "star_links", "stored", "table", "unused", "work_dir"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """A column name that none of `columns` has, whatever its case."""
+    taken = {c.casefold() for c in columns}
+    while (name := f"_{name}").casefold() in taken:
+        pass
+    return name
+
+
 def pieces(batches: Iterator, column: str, size: int) -> Iterator:
     """The rows of Arrow batches, about `size` bytes of a text column at a time (one row at least).
 

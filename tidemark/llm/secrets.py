@@ -16,9 +16,12 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm.common import unused
+
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+#: Runs of these are maximal, so a least length in the pattern finds what dropping shorter matches would leave.
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "random")
 #: Strings that the Markov models judge: of identifier characters, perhaps padded, with a letter and a digit.
@@ -27,7 +30,8 @@ ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/
 #: Nats by which the ratio must exceed zero, for each pair of characters.
 THRESHOLD = 0.25
 SAMPLE, SEED = 4000, 42
-BLOCK = 256
+#: Spans whose lengths are summed up together, and characters of a text that are cut together.
+BLOCK, CHUNK = 256, 1024
 
 #: Words that programs and addresses are named after; the ordinary sample combines them by rule.
 NAME_PARTS = """
@@ -102,8 +106,11 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _matches(text: Column, pattern: str, group: int, keep: Callable[[Column], Column], kind: int) -> Column:
-    """Spans (from, kind, upto) of the matches whose group passes `keep`, in code points."""
+def _matches(text: Column, pattern: str, group: int, keep: Callable[[Column], Column] | None, kind: int) -> Column:
+    """Spans (from, kind, upto, at) of the matches whose group passes `keep`, in code points; the group starts `at`.
+
+    The group ends where its match does.
+    """
     found = F.struct(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"),
@@ -116,10 +123,12 @@ def _matches(text: Column, pattern: str, group: int, keep: Callable[[Column], Co
 
     def one(x: Column, s: Column, b: Column, i: Column) -> Column:
         stop = F.element_at(b, ((i - 1) / BLOCK).cast("int") + 1) + _sum(F.slice(s, ((i - 1) / BLOCK).cast("int") * BLOCK + 1, (i - 1) % BLOCK + 1))
-        hit = F.element_at(x["hit"], i)
-        return F.struct((stop - F.length(hit)).alias("from"), F.lit(kind).alias("kind"), stop.alias("upto"), keep(F.element_at(x["part"], i)).alias("ok"), hit.alias("hit"))
+        start, at = stop - F.length(F.element_at(x["hit"], i)), stop - F.length(F.element_at(x["part"], i))
+        span = F.struct(start.alias("from"), F.lit(kind).alias("kind"), stop.alias("upto"), at.alias("at"))
+        return span if keep is None else F.when(keep(F.element_at(x["part"], i)), span)
 
-    return F.filter(_let(found, lambda x: F.when(F.size(x["hit"]) > 0, spans(x))), lambda x: x["ok"])
+    held = _let(found, lambda x: F.when(F.size(x["hit"]) > 0, spans(x)))
+    return held if keep is None else F.filter(held, lambda x: x.isNotNull())
 
 
 def _sum(xs: Column) -> Column:
@@ -149,32 +158,81 @@ def _random(text: Column, threshold: float) -> Column:
     return _matches(text, CANDIDATE, 0, secret, 3)
 
 
+def _tops(xs: Column, value: Callable[[Column], Column], use: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """use(f), where f(i) is the largest value of the first i elements (0 of none), in about BLOCK steps each."""
+    last = (F.size(xs) / BLOCK).cast("int")
+    tops = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_max(F.transform(F.slice(xs, k * BLOCK + 1, BLOCK), value)))
+
+    def upto(heads: Column) -> Callable[[Column], Column]:
+        block = lambda i: (i / BLOCK).cast("int")
+        own = lambda i: F.array_max(F.transform(F.slice(xs, block(i) * BLOCK + 1, i % BLOCK), value))
+        return lambda i: F.greatest(F.get(heads, block(i)), own(i), F.lit(0))
+
+    return _let(_let(tops, lambda t: F.transform(F.sequence(F.lit(0), last), lambda k: F.array_max(F.slice(t, F.lit(1), k)))), lambda heads: use(upto(heads)))
+
+
 def _none() -> Column:
-    return F.array().cast("array<struct<from:int,kind:int,upto:int,ok:boolean,hit:string>>")
+    return F.array().cast("array<struct<from:int,kind:int,upto:int,at:int>>")
 
 
-def scan(docs: DataFrame, text: str = "text", out: str = "found", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the column `out`: an array of structs (from, kind, upto, ok, hit) of all spans, in order.
+def _free(spans: Column) -> Column:
+    """Sorted spans without the random ones that touch a base span. Random spans don't touch each other, so only what
+    starts before one, and what stands right behind it, can."""
+
+    def kept(before: Callable[[Column], Column]) -> Column:
+        after = lambda i: F.get(spans, i + 1)
+        clear = lambda x, i: (before(i) <= x["from"]) & ~F.coalesce((after(i)["kind"] < 3) & (after(i)["from"] < x["upto"]), F.lit(False))
+        return F.filter(spans, lambda x, i: (x["kind"] < 3) | clear(x, i))
+
+    return _tops(spans, lambda x: F.when(x["kind"] < 3, x["upto"]).otherwise(0), kept)
+
+
+def spans(text: Column, threshold: float = THRESHOLD) -> Column:
+    """An array of structs (from, kind, upto, at) of all spans, in order; the secret itself starts `at`.
 
     A span of a base kind is a whole match of its pattern. The Markov models add spans (kind 3) that no base span
-    touches. Patterns are run only on rows that a cheap look finds worth it, and no row is moved.
+    touches. Patterns are run only where a cheap look finds it worth while. A null text has no spans.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(text, F.lit(""))
 
-    def when(hint: Column, spans: Column) -> Column:
-        return F.coalesce(F.when(hint, spans), _none())
+    def when(hint: Column, found: Column) -> Column:
+        return F.coalesce(F.when(hint, found), _none())
 
     assign = when(t.rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"), _matches(t, ASSIGN, 2, lambda x: F.length(x) >= 6, 0))
-    access = when(t.contains("AKIA"), _matches(t, ACCESS, 0, lambda x: F.length(x) >= 20, 1))
-    hexes = when(t.rlike("[0-9a-f]{24}"), _matches(t, HEX, 0, lambda x: F.length(x) >= 24, 2))
+    access = when(t.contains("AKIA"), _matches(t, ACCESS, 0, None, 1))
+    hexes = when(t.rlike("[0-9a-f]{24}"), _matches(t, HEX, 0, None, 2))
     extra = when(t.rlike(r"[A-Za-z0-9+/_-]{20}"), _random(t, threshold))
+    return _let(F.concat(assign, access, hexes, extra), lambda x: F.when(F.size(x) > 1, _let(F.array_sort(x), _free)).otherwise(x))
+
+
+def scan(docs: DataFrame, text: str = "text", out: str = "found", threshold: float = THRESHOLD) -> DataFrame:
+    """docs with the column `out`: the spans of `text`, as `spans` gives them. No row is moved."""
+    return docs.withColumn(out, spans(F.col(text), threshold))
+
+
+def masked(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
+    """text with the secret of each of its spans replaced by `mark`: what overlaps becomes one mark, names before
+    assigned values stay, and nothing else changes.
+
+    The text is cut into chunks once, so each of many spans costs a chunk and not the text.
+    """
+    def between(chunks: Column, a: Column, b: Column) -> Column:
+        """The characters from a to b, counted from 0."""
+        first, last = (a / CHUNK).cast("int"), (b / CHUNK).cast("int")
+        head = lambda n: F.substring(F.get(chunks, first), a % CHUNK + 1, n)
+        whole = F.array_join(F.slice(chunks, first + 2, last - first - 1), "")
+        tail = F.substring(F.coalesce(F.get(chunks, last), F.lit("")), F.lit(1), b % CHUNK)
+        return F.when(a >= b, F.lit("")).when(first == last, head(b - a)).otherwise(F.concat(head(F.lit(CHUNK)), whole, tail))
 
-    def joined(x: Column) -> Column:
-        base = F.array_sort(F.concat(x["assign"], x["access"], x["hex"]))
-        free = lambda m: ~F.exists(base, lambda b: (b["from"] < m["upto"]) & (m["from"] < b["upto"]))
-        return F.array_sort(F.concat(base, F.filter(x["random"], free)))
+    def build(chunks: Column, cuts: Column, before: Callable[[Column], Column]) -> Column:
+        piece = lambda x, i: F.concat(between(chunks, before(i), x["at"]), F.when(x["at"] >= before(i), F.lit(mark)).otherwise(F.lit("")))
+        rest = between(chunks, before(F.size(cuts)), F.length(text))
+        return F.concat(F.array_join(F.transform(cuts, piece), ""), rest)
 
-    return docs.withColumn(out, _let(F.struct(assign.alias("assign"), access.alias("access"), hexes.alias("hex"), extra.alias("random")), joined))
+    cuts = F.array_sort(F.transform(found, lambda x: F.struct(x["at"].alias("at"), x["upto"].alias("upto"))))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    whole = _let(chunks, lambda c: _let(cuts, lambda s: _tops(s, lambda x: x["upto"], lambda before: build(c, s, before))))
+    return F.when(F.size(found) > 0, whole).otherwise(text)
 
 
 def named(spans: Column) -> Column:
@@ -202,11 +260,6 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret in `text` replaced by `mark`; names before assigned values stay. Null texts stay null."""
-    found = scan(docs, text, "_found")
-    extra = F.array_distinct(F.transform(F.filter("_found", lambda x: x["kind"] == 3), lambda x: x["hit"]))
-    t = F.col(text)
-    plain = F.regexp_replace(t, r"""(?i)((?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9+/_.=-]{6,}""", f"$1{mark}")
-    plain = F.regexp_replace(F.regexp_replace(plain, r"AKIA[A-Z0-9]{16,}", mark), r"[0-9a-f]{24,}", mark)
-    plain = F.aggregate(extra, plain, lambda a, x: F.replace(a, x, F.lit(mark)))
-    return found.withColumn(text, F.when(F.size("_found") > 0, plain).otherwise(t)).drop("_found")
+    """docs with the secret of every span in `text` replaced by `mark`, and nothing else changed. Null texts stay null."""
+    found = unused(docs.columns, "found")
+    return scan(docs, text, found).withColumn(text, masked(F.col(text), F.col(found), mark)).drop(found)

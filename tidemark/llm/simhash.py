@@ -5,6 +5,9 @@ that differ in r bits have counts that differ by r at most in sum, so a tile mee
 other tile pairs, some 96 of 100 for radius 3, are skipped. What is left is compared whole by exclusive-or and bit
 counts in numpy, so no link is lost. Tiles are cut into blocks, and blocks dealt out in groups, so none is held by one
 task. The number of comparisons still grows with the square of the distinct fingerprints.
+
+`near_texts` drops near-duplicates by the similarity of their shingles: wider fingerprints find the pairs in the same
+way, in tiles of like sizes, and the shingles themselves decide.
 """
 
 from __future__ import annotations
@@ -12,14 +15,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
-from tidemark.llm.common import components, frugal, pieces, settle, star_links
+from tidemark.llm.common import components, frugal, pieces, settle, star_links, stored
 
-WORD = r"[^\x20\x09-\x0D]+"
-SPACE = bytes([32, *range(9, 14)])
 SEED = 42
 #: Fingerprints in a block, and blocks of one tile that meet the same copy of a neighbour.
 BLOCK, GROUP = 2048, 64
+#: Near-duplicate texts share so much of their distinct shingles of so many words.
+WORDS, SHARED, OF = 5, 4, 5
+#: Bits of their fingerprints that may differ. At the least similarity 16 to 24 of 128 are expected to, of unrelated
+#: texts 64.
+REACH = 34
 
 
 def fingerprint(text: str | None, k: int = 3) -> int:
@@ -73,25 +80,33 @@ def _near(radius: int) -> list[tuple[int, ...]]:
     return [s for s in steps if s >= (0, 0, 0, 0)]
 
 
+def meetings(rows: DataFrame, tile: list[str], steps: list[tuple[int, ...]], payload: Column, by: str) -> DataFrame:
+    """(left, right, same): the pairs of blocks in tiles that are one of `steps` apart, each once.
+
+    rows has the whole numbers `tile`, the columns of payload and `by`, which deals a tile's rows out to its blocks.
+    Tiles are bounded by what their numbers count, so their table can be broadcast whatever the input is.
+    """
+    tiles = F.broadcast(rows.groupBy(*tile).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    blocks = settle(rows.join(tiles, tile).withColumn("block", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int")).groupBy(*tile, "block").agg(F.collect_list(payload).alias("held")))
+    moves = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(tile, s, strict=True))) for s in steps))
+    sent = (
+        blocks.select(F.col("block").alias("own"), F.col("held").alias("left"), *(F.col(n).alias(f"own_{n}") for n in tile), F.explode(moves).alias("s"))
+        .select("own", "left", F.expr(" + ".join(f"abs(s.{n})" for n in tile)).alias("far"), *((F.col(f"own_{n}") + F.col(f"s.{n}")).alias(n) for n in tile))
+        .join(tiles, tile)
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"cast((blocks - 1) div {GROUP} as int)"))))
+    )
+    pairs = sent.join(blocks.withColumn("part", F.expr(f"cast(block div {GROUP} as int)")), [*tile, "part"]).filter("far > 0 or own <= block")
+    return pairs.select("left", F.col("held").alias("right"), F.expr("far = 0 and own = block").alias("same"))
+
+
 def links(distinct: DataFrame, fp: str = "fp", radius: int = 3) -> DataFrame:
     """(u, v): for each pair of blocks a spanning star of the fingerprints at `radius` or fewer differing bits.
 
     The stars join exactly what the links join. distinct holds each fingerprint once; it is read twice.
     """
-    q = [f"q{i}" for i in range(4)]
+    q = [f"q{i}" for i in range(4)]  # at most 17^4 = 83,521 tiles
     rows = distinct.filter(F.col(fp).isNotNull()).select(F.col(fp).alias("fp"), *(c.alias(n) for n, c in zip(q, _quarters(fp), strict=True)))
-    # At most 17^4 = 83,521 tiles exist, so their table can be broadcast whatever the input is.
-    tiles = F.broadcast(rows.groupBy(*q).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    blocks = settle(rows.join(tiles, q).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).groupBy(*q, "block").agg(F.collect_list("fp").alias("fps")))
-    steps = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(q, s, strict=True))) for s in _near(radius)))
-    sent = (
-        blocks.select(F.col("block").alias("own"), F.col("fps").alias("left"), *(F.col(n).alias(f"own_{n}") for n in q), F.explode(steps).alias("s"))
-        .select("own", "left", F.expr(" + ".join(f"abs(s.{n})" for n in q)).alias("far"), *((F.col(f"own_{n}") + F.col(f"s.{n}")).alias(n) for n in q))
-        .join(tiles, q)
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"cast((blocks - 1) div {GROUP} as int)"))))
-    )
-    pairs = sent.join(blocks.withColumn("part", F.expr(f"cast(block div {GROUP} as int)")), [*q, "part"]).filter("far > 0 or own <= block")
-    pairs = pairs.select("left", F.col("fps").alias("right"))
+    pairs = meetings(rows, q, _near(radius), F.col("fp"), "fp").select("left", "right")
 
     def compare(batches: Iterator) -> Iterator:
         import numpy as np
@@ -137,3 +152,204 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # Settled, so that the last join reads both sides from plain exchanges, whose large partitions Spark can split.
     classes = settle(distinct.join(found, "fp", "left").select("fp", F.coalesce("all_least", "least").alias("component_id")))
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def shingle_hashes(text: str | None, k: int = WORDS):
+    """Sorted distinct 64-bit hashes of the shingles of k words (fewer words: of the whole sequence; none: no hash)."""
+    import numpy as np
+    import xxhash
+
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    n, digest, parts = max(1, len(words) - k + 1), xxhash.xxh3_64_intdigest, []
+    for at in range(0, n, 1 << 16):
+        part = words[at : at + (1 << 16) + k - 1]
+        rows = map(b" ".join, zip(*(part[i:] for i in range(k)))) if len(words) >= k else [b" ".join(words)]
+        parts.append(np.unique(np.fromiter(map(digest, rows), np.uint64)))
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+
+
+def wide_print(hashes) -> tuple[int, int]:
+    """128 bits as two signed integers: each is set where it is in over half of the hashes, mixed anew for the second."""
+    import numpy as np
+
+    out = []
+    for turn in range(2):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 1 << 16):
+            h = hashes[at : at + (1 << 16)]
+            if turn:  # a full mix of all bits, so the second word says something of its own
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+                h = h ^ (h >> np.uint64(32))
+            ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]))
+    return out[0], out[1]
+
+
+def wide_prints(texts: DataFrame, k: int = WORDS) -> DataFrame:
+    """cls, n (distinct shingles), a and b (the fingerprint's halves) of texts (cls, text)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in pieces(batches, "text", 4_000_000):
+            rows = []
+            for t in batch.column("text").to_pylist():
+                hashes = shingle_hashes(t, k)
+                rows.append((len(hashes), *wide_print(hashes)))
+            rows = np.array(rows, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), *(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(3))], names=["cls", "n", "a", "b"])
+
+    return texts.select("cls", "text").mapInArrow(frugal(run), "cls long, n long, a long, b long")
+
+
+def _size_tiles(prints: DataFrame, shared: int, of: int, reach: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """prints with the tile numbers `s` and `p`, and the steps between tiles that can hold similar texts.
+
+    Sets that share `shared` of `of` have sizes within that ratio of each other, and fingerprints within reach have
+    population counts within it; all other pairs of tiles are skipped. A tile spans half the ratio, or the reach.
+    """
+    step = F.log(F.lit(of / shared)) / 2
+    size = F.when(F.col("n") > 0, F.floor(F.log("n") / step)).otherwise(-9)  # what has no words meets its like alone
+    bits = F.floor((F.bit_count("a") + F.bit_count("b")) / (reach + 1))
+    steps = [(s, p) for s in range(3) for p in (-1, 0, 1) if (s, p) >= (0, 0)]
+    return prints.select("*", size.cast("int").alias("s"), bits.cast("int").alias("p")), steps
+
+
+def candidates(prints: DataFrame, every: bool, shared: int = SHARED, of: int = OF, reach: int = REACH) -> DataFrame:
+    """(u, v), u > v: texts with different roots whose fingerprints differ by `reach` bits or fewer, from prints (cls,
+    n, a, b, root). If not every one of them is wanted, each text names its first and its nearest in a pair of blocks.
+    """
+    rows, steps = _size_tiles(prints, shared, of, reach)
+    pairs = meetings(rows, ["s", "p"], steps, F.struct("cls", "n", "a", "b", "root"), "cls")
+
+    def compare(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def load(held) -> dict:
+            by = np.argsort(np.asarray(held.field("cls")))
+            return {f: np.asarray(held.field(f))[by].view(np.uint64 if f in "ab" else np.int64) for f in ("cls", "n", "a", "b", "root")}
+
+        for batch in batches:
+            u, v = [], []
+            for left, right, same in zip(*(batch.column(c) for c in ("left", "right", "same")), strict=True):
+                x, same = load(left.values), same.as_py()
+                y = x if same else load(right.values)
+                nearest, near_at = np.full(len(y["cls"]), reach + 1, np.uint8), np.zeros(len(y["cls"]), np.int64)
+                first_at = np.full(len(y["cls"]), -1)
+                for at in range(0, len(x["cls"]), 128):
+                    part = slice(at, at + 128)
+                    far = np.bitwise_count(x["a"][part, None] ^ y["a"][None, :])
+                    far += np.bitwise_count(x["b"][part, None] ^ y["b"][None, :])
+                    i, j = np.nonzero(far <= reach)
+                    n, m = x["n"][part][i], y["n"][j]
+                    fit = (x["root"][part][i] != y["root"][j]) & (of * n >= shared * m) & (of * m >= shared * n)
+                    if not fit.any():
+                        continue
+                    i, j = i[fit], j[fit]
+                    if every:
+                        keep = i + at < j if same else slice(None)
+                        u.append(x["cls"][i[keep] + at])
+                        v.append(y["cls"][j[keep]])
+                        continue
+                    some = np.full(far.shape, 255, np.uint8)
+                    some[i, j] = far[i, j]
+                    # The rows of this strip, whose every partner in y is at hand.
+                    rows = np.unique(i)
+                    for cols in ((some[rows] < 255).argmax(1), some[rows].argmin(1)):
+                        u.append(x["cls"][rows + at])
+                        v.append(y["cls"][cols])
+                    if same:
+                        continue
+                    # The rows of y, whose partners come strip by strip, in ascending order.
+                    cols = np.unique(j)
+                    fresh = cols[first_at[cols] < 0]
+                    first_at[fresh] = (some[:, fresh] < 255).argmax(0) + at
+                    least, where = some[:, cols].min(0), some[:, cols].argmin(0) + at
+                    better = least < nearest[cols]
+                    nearest[cols[better]], near_at[cols[better]] = least[better], where[better]
+                known = np.flatnonzero(first_at >= 0)
+                for where in (first_at, near_at):
+                    u.append(y["cls"][known])
+                    v.append(x["cls"][where[known]])
+            if u:
+                u, v = np.concatenate(u), np.concatenate(v)
+                both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1) if len(u) else np.empty((2, 0), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
+
+    return pairs.mapInArrow(frugal(compare), "u long, v long").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, k: int = WORDS, shared: int = SHARED, of: int = OF) -> DataFrame:
+    """The pairs (u, v) whose texts (cls, text) share `shared` of `of` of their distinct shingles, or have none."""
+    ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct(), "asked")
+
+    def hashed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in pieces(batches, "text", 4_000_000):
+            found = [shingle_hashes(t, k).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(found, pa.binary())], names=["cls", "shingles"])
+
+    sets = stored(texts.join(ids, "cls", "left_semi").select("cls", "text").mapInArrow(frugal(hashed), "cls long, shingles binary"), "shingles")
+    # The larger number of a pair comes first: what many pairs share is joined last, and isn't shuffled with them.
+    both = pairs.join(sets.select(F.col("cls").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("cls").alias("v"), F.col("shingles").alias("y")), "v")
+
+    def compare(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                a, b = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                common = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
+                keep.append(of * common >= shared * (len(a) + len(b) - common))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("u", "v", "x", "y").mapInArrow(frugal(compare), "u long, v long")
+
+
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = WORDS, shared: int = SHARED, of: int = OF, reach: int = REACH) -> DataFrame:
+    """The rows of docs without near-duplicates: of each group the row with the smallest id stays, null ids last.
+
+    Two texts are near if they share `shared` of `of` of their distinct shingles of k words, lower-cased; links of
+    links are one group. Fingerprints of 128 bits, compared exactly in tiles, propose pairs, and the shingles decide;
+    a pair within the similarity is proposed but for the rare one whose fingerprints differ by more than `reach`.
+    Equal texts become one class before anything is compared. Then each class names its first and its nearest
+    candidate, which joins dense groups by few pairs, and a second comparison takes every pair still apart.
+
+    Defined cases: texts without words (null ones, too) are one group; rows without id are rows like any others;
+    rows that share an id are told apart by their text; of rows with equal id and text the one with the smallest hash
+    of its columns stays. Columns may have any names; an empty table gives no rows; texts may have any length.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashable = [F.col(f"`{f.name}`") for f in docs.schema.fields if not _has_map(f.dataType)]
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(*hashable))
+    key = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    # Each task keeps one row of a text, so copies don't meet before they are one.
+    reps = docs.select(key.alias("key"), F.struct(*columns).alias("row"), order.alias("order")).groupBy("key").agg(F.min_by("row", "order").alias("row"))
+    reps = stored(reps.withColumn("cls", F.monotonically_increasing_id()), "texts")
+    texts = reps.select("cls", F.coalesce(F.col("row").getField(text), F.lit("")).alias("text"))
+    prints = settle(wide_prints(texts, k))
+    near = settle(verified(settle(candidates(prints.withColumn("root", F.col("cls")), False, shared, of, reach)), texts, k, shared, of))
+    roots = settle(components(near))
+    apart = settle(prints.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    more = settle(verified(settle(candidates(apart, True, shared, of, reach)), texts, k, shared, of))
+    if not more.isEmpty():
+        roots = settle(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)))
+    member = reps.select("cls", F.struct(F.col("row").getField(id_col).isNull().alias("lost"), F.col("row").getField(id_col).alias("id"), "key", "cls").alias("order"))
+    grouped = member.join(roots, member.cls == roots.node).select("cls", "root", "order")
+    first = grouped.groupBy("root").agg(F.min("order")["cls"].alias("first"))
+    gone = stored(grouped.join(first, "root").filter("cls <> first").select("cls"), "gone")
+    return reps.join(gone, "cls", "left_anti").select("row.*")
+
+
+def _has_map(kind) -> bool:
+    if isinstance(kind, StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (MapType, VariantType)) or isinstance(kind, ArrayType) and _has_map(kind.elementType)
