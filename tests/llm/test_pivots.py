@@ -43,20 +43,25 @@ SCHEMA = "vec_id long, embedding array<double>, label int"
 
 def test_links(spark, monkeypatch):
     monkeypatch.setattr(pivots, "BLOCK", 16)
+    monkeypatch.setattr(pivots, "LIST", 20)
     monkeypatch.setattr(pivots, "GROUP", 2)
     rows = data()
     got = pivots.near_duplicates(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as copies", "2 as u").repartition(3)).collect()
     assert sorted((str(tuple(r)) for r in got)) == sorted(str(r) for r in brute(rows))
 
 
-def test_colliding_signatures(spark, monkeypatch):
-    monkeypatch.setattr(pivots, "SIGNATURE", 64)
-    monkeypatch.setattr(pivots, "PIVOTS", (128, 128))
-    rows = data(200, 8, 3)
-    got = pivots.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
-    want = brute(rows)
-    assert sum(r.n_links for r in got) >= 0.9 * sum(r[1] for r in want)
-    assert all(g <= w for g, w in zip(sorted(r.n_links for r in got), sorted(r[1] for r in want)))
+def test_sketches_lose_few():
+    """Vectors at the very cosine looked for: nearly all are within reach of each other, and unrelated ones are not."""
+    rng = np.random.default_rng(6)
+    planes = rng.normal(size=(64, pivots.SIGNS))
+    u, w = rng.normal(size=(2, 20_000, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w -= (w * u).sum(1, keepdims=True) * u
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    far = lambda x, y: ((x @ planes > 0) != (y @ planes > 0)).sum(1)
+    reach = pivots.reach(0.98)
+    assert (far(u, 0.98 * u + math.sqrt(1 - 0.98**2) * w) <= reach).mean() > 0.999
+    assert (far(u, w) <= reach).mean() == 0 and pivots.reach(1.0) == 0
 
 
 def test_recall_against_brute_force(spark):

@@ -1,12 +1,16 @@
 """Near-duplicate embeddings by a pivot permutation index.
 
 A bounded sample of the vectors, no two of them close, serves as pivots: a dense group of near copies has one of them,
-and its members agree on the rest, which they would not on a choice among each other. Every vector is described by its nearest pivots in order, and stands
-in the inverted list of each. Two vectors that share at least SHARED of their NEAREST pivots are candidates, found in
-the list of the first pivot that they share and nowhere else, and verified by their cosine in double precision. Lists
-are cut into blocks that meet two at a time, so a list of any length is compared whole and never held by one task.
-Equal vectors are one class with a count, and what leaves a pair of blocks is a count for each vector and a spanning
-star for each bunch, not the pairs.
+and its members agree on the rest, which they would not on a choice among each other. Every vector is described by its
+nearest pivots in order, and stands in the inverted list of each. Two vectors that share at least SHARED of their NEAREST
+pivots are found in the list of the first pivot that they share and nowhere else; they are candidates if a sketch of
+their directions, 128 signs of fixed projections, doesn't put them far beyond the angle looked for. Lists hold numbers,
+descriptions and sketches, no vectors, and are cut into blocks that meet two at a time, so a list of any length is
+compared whole and never held by one task.
+
+Candidates that hang together then send their vectors, once, to be verified among themselves by their cosine in double
+precision. Equal vectors are one class with a count, and what leaves a pair of blocks is a count for each vector and a
+spanning star for each bunch, not the pairs.
 """
 
 from __future__ import annotations
@@ -25,9 +29,19 @@ NEAREST, SHARED = 8, 2
 PIVOTS = (64, 4096)
 #: Pivots have a lower cosine than this with each other, and are chosen from so many times their number of vectors.
 APART, POOL = 0.9, 4
-BLOCK, GROUP = 1024, 64
-#: Bits of the signature that bounds shared-pivot counts from above.
-SIGNATURE = 256
+#: Postings and vectors in a block, and blocks that meet the same copy of another.
+LIST, BLOCK, GROUP = 4096, 1024, 64
+#: Signs in a sketch (two words), and the seed of their projections.
+SIGNS, SEED = 128, 42
+
+
+def reach(cosine: float) -> int:
+    """Signs of two sketches that may differ. Each differs with the chance of the angle over pi; beyond four standard
+    deviations above that come fewer than one pair in two thousand."""
+    import math
+
+    p = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    return math.ceil(SIGNS * p + 3.8 * math.sqrt(SIGNS * p * (1 - p)))
 
 
 def choose_pivots(vectors: DataFrame, n: int) -> list[list[float]]:
@@ -51,149 +65,185 @@ def choose_pivots(vectors: DataFrame, n: int) -> list[list[float]]:
     return chosen
 
 
-def describe(vectors: DataFrame, pivots: list[list[float]], nearest: int = NEAREST) -> DataFrame:
-    """vectors with `pivots`: the numbers of the nearest pivots by angle, nearest first.
+def _unit(column):
+    """The vectors of a list column as rows of length one."""
+    import numpy as np
+
+    v = matrix(column)
+    v = v / np.abs(v).max(1, keepdims=True)  # squares of very large or small numbers would leave the range
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
 
-    A vector for whose dimension there is no pivot is described by pivot 0 alone: it is compared with all such.
-    """
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+def post(vectors: DataFrame, pivots: list[list[float]], nearest: int = NEAREST) -> DataFrame:
+    """A row (label, dim, pivot, cls, pivots, sketch) for each of the nearest pivots of each vector (cls, label, vector).
+
+    pivots are their numbers as 16-bit integers, nearest first. A vector for whose dimension there is no pivot is
+    described by pivot 0 alone: it is compared with all such.
+    """
     import numpy as np
 
     by_dim: dict[int, list] = {}
     for i, p in enumerate(pivots):
         by_dim.setdefault(len(p), []).append((i, p))
-    bases = {d: (np.array([i for i, _ in x], np.int32), np.array([p for _, p in x])) for d, x in by_dim.items()}
+    bases = {d: (np.array([i for i, _ in x], "<i2"), np.array([p for _, p in x])) for d, x in by_dim.items()}
     bases = {d: (i, p / np.abs(p).max(1, keepdims=True)) for d, (i, p) in bases.items()}
     bases = {d: (i, p / np.linalg.norm(p, axis=1, keepdims=True)) for d, (i, p) in bases.items()}
-    names = vectors.columns
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        planes: dict[int, object] = {}
         for b in batches:
-            column = b.column("vector")
-            sizes = np.asarray(pc.list_value_length(column))
-            out: list = [None] * b.num_rows
-            for d in np.unique(sizes):
+            sizes = np.asarray(pc.list_value_length(b.column("vector")))
+            for d in map(int, np.unique(sizes)):
                 rows = np.flatnonzero(sizes == d)
-                ids, base = bases.get(int(d), (np.zeros(1, np.int32), np.zeros((1, int(d)))))
+                ids, base = bases.get(d, (np.zeros(1, "<i2"), np.zeros((1, d))))
+                if d not in planes:
+                    planes[d] = np.random.default_rng([SEED, d]).normal(size=(d, SIGNS))
                 for at in range(0, len(rows), 4096):
-                    some = rows[at : at + 4096]
-                    close = matrix(column.take(pa.array(some))) @ base.T
+                    some = pa.array(rows[at : at + 4096])
+                    unit = _unit(b.column("vector").take(some))
+                    close = unit @ base.T
                     k = min(nearest, len(ids))
                     best = np.argpartition(-close, k - 1, axis=1)[:, :k]
                     best = np.take_along_axis(best, np.argsort(-np.take_along_axis(close, best, 1), axis=1, kind="stable"), 1)
-                    for r, x in zip(some, ids[best], strict=True):
-                        out[r] = x
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.list_(pa.int32()))], names=[*names, "pivots"])
+                    perms, sketches = ids[best], np.packbits(unit @ planes[d] > 0, axis=1)
+                    place = np.repeat(np.arange(len(some)), k)
+                    fixed = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * x.itemsize), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary()).take(pa.array(place))
+                    own = some.take(pa.array(place))
+                    yield pa.RecordBatch.from_arrays([b.column("label").take(own), pa.array(np.full(len(place), d, np.int32)), pa.array(perms.ravel().astype(np.int32)), b.column("cls").take(own), fixed(perms), fixed(sketches)], names=["label", "dim", "pivot", "cls", "pivots", "sketch"])
 
-    return vectors.mapInArrow(frugal(run), StructType([*vectors.schema.fields, StructField("pivots", ArrayType(IntegerType()))]))
+    kind = vectors.schema["label"].dataType.simpleString()
+    return vectors.select("cls", "label", "vector").mapInArrow(frugal(run), f"label {kind}, dim int, pivot int, cls long, pivots binary, sketch binary")
 
 
-def signatures(perms):
-    """For each description a bit for each of its pivots, in words of 64 bits."""
-    import numpy as np
+def blocked(rows: DataFrame, key: list[str], size: int, *columns: str) -> DataFrame:
+    """(key, block, blocks, held): the rows of each key, about `size` to a block."""
+    # Only keys with more rows than a block holds are looked up, so the table is small beside the rows.
+    large = stored(rows.groupBy(*key).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")).filter("blocks > 1"), "large")
+    dealt = rows.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    return dealt.groupBy(*key, "block").agg(F.max("blocks").alias("blocks"), F.collect_list(F.struct(*columns)).alias("held"))
+
 
-    out = np.zeros((len(perms), SIGNATURE // 64), np.uint64)
-    for k in range(perms.shape[1]):
-        bit = perms[:, k] % SIGNATURE
-        np.bitwise_or.at(out, (np.arange(len(perms)), bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
-    return out
+def meetings(blocks: DataFrame, key: list[str]) -> DataFrame:
+    """(key, left, right): each two different blocks of one key, once."""
+    cut = blocks.filter("blocks > 1")
+    groups = F.sequence(F.expr(f"block div {GROUP}"), F.expr(f"(blocks - 1) div {GROUP}"))
+    left = cut.select(*key, F.col("block").alias("own"), F.col("held").alias("left"), F.explode(groups).alias("part"))
+    return left.join(cut.select(*key, "block", F.expr(f"block div {GROUP}").alias("part"), F.col("held").alias("right")), [*key, "part"]).filter("own < block").select(*key, "left", "right")
 
 
-def compare(pivot: int, a: dict, b: dict, same: bool, cosine: float, shared: int):
-    """Places (i, j) of the linked pairs of two blocks of one inverted list, found in no other list."""
+def compare(pivot: int, a: dict, b: dict | None, radius: int, shared: int):
+    """Places (i, j) of the candidates among two blocks of one inverted list, or within one, found in no other list."""
     import numpy as np
 
-    found = []
-    for at in range(0, len(a["id"]), 128):
+    found, same = [], b is None
+    b = a if b is None else b
+    for at in range(0, len(a["cls"]), 128):
         part = slice(at, at + 128)
-        count = np.zeros((len(a["id"][part]), len(b["id"])), np.uint8)
-        for w in range(SIGNATURE // 64):
-            count += np.bitwise_count(a["bits"][part, None, w] & b["bits"][None, :, w])
-        # A description whose pivots fall on one bit counts them once, so its pairs are all kept for the exact count.
-        i, j = np.nonzero((count >= shared) | a["merged"][part, None] | b["merged"][None, :])
+        far = np.bitwise_count(a["sketch"][part, None, 0] ^ b["sketch"][None, :, 0])
+        far += np.bitwise_count(a["sketch"][part, None, 1] ^ b["sketch"][None, :, 1])
+        i, j = np.nonzero(far <= radius)
         i += at
         if same:
             i, j = i[i < j], j[i < j]
-        if not len(i):
-            continue
-        # The exact number of shared pivots, and the first of them.
-        pa, pb = a["perms"][i], b["perms"][j]
-        both = (pa[:, :, None] == pb[:, None, :]).any(2)
-        first = np.where(both, pa, np.iinfo(np.int32).max).min(1)
-        fit = (both.sum(1) >= min(shared, pa.shape[1])) & (first == pivot)
-        i, j = i[fit], j[fit]
-        if not len(i):
-            continue
-        rows, cols = np.unique(i), np.unique(j)
-        near = a["unit"][rows] @ b["unit"][cols].T
-        fit = near[np.searchsorted(rows, i), np.searchsorted(cols, j)] >= cosine
-        found.append((i[fit], j[fit]))
+        for k in range(0, len(i), 1 << 16):
+            x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            pa, pb = a["pivots"][x], b["pivots"][y]
+            both = (pa[:, :, None] == pb[:, None, :]).any(2)
+            first = np.where(both, pa, np.iinfo(np.int16).max).min(1)
+            fit = (both.sum(1) >= min(shared, pa.shape[1])) & (first == pivot)
+            found.append((x[fit], y[fit]))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def near_vectors(classes: DataFrame, pivots: list[list[float]], cosine: float = COSINE, shared: int = SHARED) -> DataFrame:
+def _stars(cls, i, j):
+    """The links i-j among numbers cls as a spanning star for each bunch, in numbers."""
+    import numpy as np
+
+    ids, at = np.unique(cls, return_inverse=True)
+    place, root = star_links(at[i], at[j], len(ids))
+    return ids[place], ids[root]
+
+
+def candidates(classes: DataFrame, pivots: list[list[float]], cosine: float = COSINE, shared: int = SHARED) -> DataFrame:
+    """(u, v): spanning stars of the classes that are candidates of each other, for each pair of blocks."""
+    posted = stored(post(classes, pivots), "postings")
+    key, radius = ["label", "dim", "pivot"], reach(cosine)
+    blocks = stored(blocked(posted, key, LIST, "cls", "pivots", "sketch"), "lists")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def load(held) -> dict:
+            table = lambda f, kind: np.frombuffer(b"".join(held.field(f).to_pylist()), kind).reshape(len(held), -1)
+            return {"cls": np.asarray(held.field("cls")), "pivots": table("pivots", "<i2"), "sketch": table("sketch", "<u8")}
+
+        for batch in batches:
+            u, v = [], []
+            for r in range(batch.num_rows):
+                a = load(batch.column("left")[r].values)
+                b = load(batch.column("right")[r].values) if batch.column("right")[r].is_valid else None
+                i, j = compare(batch.column("pivot")[r].as_py(), a, b, radius, shared)
+                if len(i):
+                    both = _stars(a["cls"] if b is None else np.concatenate([a["cls"], b["cls"]]), i, j if b is None else j + len(a["cls"]))
+                    u.append(both[0])
+                    v.append(both[1])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+
+    alone = blocks.select("pivot", F.col("held").alias("left"), F.lit(None).cast(blocks.schema["held"].dataType).alias("right"))
+    work = [alone, meetings(blocks, key).select("pivot", "left", "right")]
+    found = [w.mapInArrow(frugal(run), "u long, v long") for w in work]
+    return found[0].unionByName(found[1])
+
+
+def near_vectors(classes: DataFrame, groups: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(u, v, n): for v null, n vectors are linked to those of class u in some blocks; else a link of a spanning star.
 
-    classes has cls (a number of its own), label, vector and copies; classes link within one label and dimension.
+    classes has cls, vector and copies; groups (node, root) says which of them may be near, all else is far apart.
     """
-    posted = describe(classes, pivots).select("cls", "label", F.size("vector").alias("dim"), "vector", "copies", "pivots", F.explode("pivots").alias("pivot"))
-    posted = stored(posted, "postings")
-    key = ["label", "dim", "pivot"]
-    lists = posted.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocks = posted.join(lists, key).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    row = F.struct("cls", "copies", "vector", "pivots")
-    blocks = stored(blocks.groupBy(*key, "block").agg(F.max("blocks").alias("blocks"), F.collect_list(row).alias("rows")), "lists")
-    groups = F.sequence(F.expr(f"block div {GROUP}"), F.expr(f"(blocks - 1) div {GROUP}"))
-    left = blocks.select(*key, F.col("block").alias("own"), F.col("rows").alias("left"), F.explode(groups).alias("part"))
-    pairs = left.join(blocks.select(*key, "block", F.expr(f"block div {GROUP}").alias("part"), F.col("rows").alias("right")), [*key, "part"]).filter("own <= block")
+    rows = groups.select(F.col("node").alias("cls"), "root").join(classes.select("cls", "copies", "vector"), "cls")
+    blocks = stored(blocked(rows, ["root"], BLOCK, "cls", "copies", "vector"), "groups")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        def load(rows) -> dict:
-            unit = matrix(rows.field("vector"))
-            top = np.abs(unit).max(1, keepdims=True)  # squares of very large or small numbers would leave the range
-            unit = unit / top
-            unit = unit / np.sqrt((unit * unit).sum(1, keepdims=True))
-            perms = matrix(rows.field("pivots"), "i4")
-            bits = signatures(perms)
-            merged = (np.bitwise_count(bits).sum(1) < perms.shape[1]) | (perms.shape[1] < shared)
-            return {"id": np.asarray(rows.field("cls")), "copies": np.asarray(rows.field("copies")), "unit": unit, "perms": perms, "bits": bits, "merged": merged}
-
         for batch in batches:
             u, v, n = [], [], []
-            for pivot, own, block, x, y in zip(*(batch.column(c) for c in ("pivot", "own", "block", "left", "right")), strict=True):
-                same = own.as_py() == block.as_py()
-                a = load(x.values)
-                b = a if same else load(y.values)
-                i, j = compare(pivot.as_py(), a, b, same, cosine, shared)
+            for r in range(batch.num_rows):
+                x, y = batch.column("left")[r].values, batch.column("right")[r].values
+                a, cls, copies = _unit(x.field("vector")), np.asarray(x.field("cls")), np.asarray(x.field("copies"))
+                if y is None:
+                    hit = np.triu(a @ a.T >= cosine, 1)
+                    i, j = np.nonzero(hit)
+                    count = hit @ copies + copies @ hit
+                else:
+                    hit = a @ _unit(y.field("vector")).T >= cosine
+                    i, j = np.nonzero(hit)
+                    other = np.asarray(y.field("copies"))
+                    count = np.concatenate([hit @ other, copies @ hit])
+                    cls, j = np.concatenate([cls, np.asarray(y.field("cls"))]), j + len(cls)
                 if not len(i):
                     continue
-                ids, at = np.unique(np.concatenate([a["id"], b["id"]]), return_inverse=True)
-                i, j = at[: len(a["id"])][i], at[len(a["id"]) :][j]
-                copies = np.zeros(len(ids), np.int64)
-                copies[at] = np.concatenate([a["copies"], b["copies"]])
-                count = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
                 some = np.flatnonzero(count)
-                u += [ids[some]]
-                v += [np.full(len(some), -1)]
-                n += [count[some].astype(np.int64)]
-                place, root = star_links(i, j, len(ids))
-                u += [ids[place]]
-                v += [ids[root]]
-                n += [np.zeros(len(place), np.int64)]
+                place, root = _stars(cls, i, j)
+                u += [cls[some], place]
+                v += [np.full(len(some), -1), root]
+                n += [count[some].astype(np.int64), np.zeros(len(place), np.int64)]
             if u:
                 v = np.concatenate(v)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(v, mask=v < 0), pa.array(np.concatenate(n))], names=["u", "v", "n"])
 
-    return pairs.select("pivot", "own", "block", "left", "right").mapInArrow(frugal(run), "u long, v long, n long")
+    alone = blocks.select(F.col("held").alias("left"), F.lit(None).cast(blocks.schema["held"].dataType).alias("right"))
+    found = [w.select("left", "right").mapInArrow(frugal(run), "u long, v long, n long") for w in (alone, meetings(blocks, ["root"]))]
+    return found[0].unionByName(found[1])
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE) -> DataFrame:
@@ -205,24 +255,30 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embe
     link of others; its component is the smallest id it reaches, null if there is none, and it is not kept. Other
     columns are ignored; an empty table gives no rows.
     """
-    # Written once, as the classes' numbers must stay the same when a lost executor's work is repeated.
-    v = F.col(vector).cast("array<double>")
+    v = F.col(vector)
+    if rows.schema[vector].dataType.simpleString() not in ("array<float>", "array<double>"):
+        v = v.cast("array<double>")
     ok = usable(F.col(vector)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False)) & F.col(label).isNotNull()
+    # Vectors are told apart by two hashes of 64 bits, so they move only where they are compared.
+    hashes = {"h1": F.xxhash64(F.lit(1), "vector"), "h2": F.xxhash64(F.lit(2), "vector", F.lit(3))}
     base = rows.select(F.col(id_col).alias("id"), F.col(label).alias("label"), v.alias("vector"), ok.alias("ok"))
-    grouped = base.filter("ok").groupBy("label", "vector").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
+    key = ["label", "h1", "h2"]
+    # Written once, as the classes' numbers must stay the same when a lost executor's work is repeated.
+    grouped = base.filter("ok").withColumns(hashes).groupBy(*key).agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.first("vector").alias("vector"))
     classes = stored(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
     n = classes.count()
     alone = base.filter(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     if not n:
         return _result(alone, id_col)
-    found = settle(near_vectors(classes, choose_pivots(classes, n), cosine))
+    groups = stored(components(candidates(classes, choose_pivots(classes, n), cosine)), "near")
+    found = settle(near_vectors(classes, groups, cosine))
     links = found.filter("v is null").groupBy("u").agg(F.sum("n").alias("near"))
     roots = components(found.filter("v is not null").select("u", "v"))
-    known = classes.select("cls", "copies", "least").join(links.withColumnRenamed("u", "cls"), "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    known = settle(known.select("cls", "least", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("root", "cls").alias("root")))
+    known = classes.select("cls", *key, "copies", "least").join(links.withColumnRenamed("u", "cls"), "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    known = settle(known.select(*key, "least", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("root", "cls").alias("root")))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = known.join(least, "root").select("cls", "n_links", "component_id").join(classes.select("cls", "label", "vector"), "cls")
-    linked = base.filter("ok").join(known, ["label", "vector"]).select("id", "n_links", "component_id")
+    known = settle(known.join(least, "root").select(*key, "n_links", "component_id"))
+    linked = base.filter("ok").withColumns(hashes).select("id", *key).join(known, key).select("id", "n_links", "component_id")
     return _result(linked.unionByName(alone), id_col)
 
 
