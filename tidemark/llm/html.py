@@ -1,9 +1,10 @@
 """Main text of web pages by block rules in two passes.
 
-A page falls into blocks at its block-level tags. The first pass decides blocks by the share of stop words, length and
-share of link text, and by markup that names its role (navigation, footers, forms, adverts, comments). Short or
-undecided blocks are ambiguous; the second pass gives each the label of its nearest decided neighbours. Where a page
-marks its article, the blocks outside are bad, and the prose rules can't drop a block inside that markup leaves in.
+A page falls into blocks at its block-level tags. The first pass gives each block points: for its share of stop words
+and its length, against its share of link text, and for or against what markup says of it (an article; navigation,
+footers, forms, adverts, comments). Enough points either way decide it. The others, mostly short ones, are ambiguous; the
+second pass gives each the label of its nearest decided neighbours. A marked article is a wall: what stands outside says
+nothing of the blocks inside. All steps take time in proportion to the length of the page.
 """
 
 from __future__ import annotations
@@ -52,22 +53,29 @@ OUT_NAMES = frozenset(
 #: Names that say something only outside an article.
 PAGE_NAMES = frozenset("header masthead topbar site".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z))""", re.S)
+#: Parts of names that turn the next part into something else: no-sidebar, has-comments.
+TURNED = frozenset("no not non has with without is hide hidden".split())
+
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)""", re.S)
 ATTR = re.compile(r"""([a-zA-Z][\w:-]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-STRIP = re.compile(r"^\W+|\W+$")
+WORD = re.compile(r"\w+")
+#: Numbers that no character has, and that are too long to be read as numbers.
+NO_CHAR = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.10, 0.30
 LINKS = 0.5
 GOOD, BAD, AMBIGUOUS = 1, -1, 0
+#: Points that decide a block.
+ENOUGH = 2
 
 
 class Block:
-    __slots__ = ("text", "links", "out", "home", "label")
+    __slots__ = ("text", "links", "out", "home", "label", "turn")
 
     def __init__(self, text: str, links: int, out: bool, home: int):
-        self.text, self.links, self.out, self.home, self.label = text, links, out, home, AMBIGUOUS
+        self.text, self.links, self.out, self.home, self.label, self.turn = text, links, out, home, AMBIGUOUS, 1
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -85,15 +93,53 @@ def _is_out(tag: str, raw: str, inside: bool) -> bool:
         return True
     if a.get("role", "").lower() in OUT_ROLES:
         return True
-    names = {x.lower() for x in NAME.findall(unescape(f"{a.get('class', '')} {a.get('id', '')} {a.get('itemprop', '')}"))}
+    parts = [x.lower() for x in NAME.findall(_plain(f"{a.get('class', '')} {a.get('id', '')} {a.get('itemprop', '')}"))]
+    names = {x for x, before in zip(parts, ["", *parts], strict=False) if before not in TURNED}
     return not names.isdisjoint(OUT_NAMES) or not inside and not names.isdisjoint(PAGE_NAMES)
 
 
+def _plain(text: str) -> str:
+    """text with its character references decoded."""
+    return unescape(NO_CHAR.sub("\ufffd", text)) if "&" in text else text
+
+
+class Open:
+    """The open elements, with the places of each tag and of the block-level ones, so that none is searched for."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, int, bool]] = []  # tag, out, home, link
+        self.places: dict[str, list[int]] = {}
+        self.levels: list[int] = []
+
+    def state(self) -> tuple[bool, int, bool]:
+        return self.stack[-1][1:] if self.stack else (False, 0, False)
+
+    def push(self, tag: str, out: bool, home: int, link: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.levels.append(len(self.stack))
+        self.stack.append((tag, out, home, link))
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.levels.pop()
+
+    def ended(self, tag: str) -> int:
+        """The place of the element that an end tag closes, -1 for none. An inline one doesn't close blocks around it."""
+        known = self.places.get(tag)
+        if not known or tag not in BLOCK and self.levels and self.levels[-1] > known[-1]:
+            return -1
+        return known[-1]
+
+
 def blocks(html: str) -> tuple[list[Block], dict[int, str]]:
     """The blocks of a page in order, and the tag of each home: the innermost article or main element, 0 for none."""
     found: list[Block] = []
     homes: dict[int, str] = {}
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, out, home, link
+    elements = Open()
     out, home, link = False, 0, False
     parts: list[str] = []
     linked = 0
@@ -101,7 +147,7 @@ def blocks(html: str) -> tuple[list[Block], dict[int, str]]:
 
     def text(piece: str) -> None:
         nonlocal linked
-        piece = unescape(piece) if "&" in piece else piece
+        piece = _plain(piece)
         parts.append(piece)
         if link:
             linked += len("".join(piece.split()))
@@ -134,17 +180,15 @@ def blocks(html: str) -> tuple[list[Block], dict[int, str]]:
                 continue
             if tag in BLOCK:
                 close()
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] != tag and not (stack[k][0] in BLOCK and tag not in BLOCK):
-                k -= 1  # a misplaced inline end tag doesn't close the blocks around it
-            if k >= 0 and stack[k][0] == tag:
-                if any(x[0] in BLOCK for x in stack[k:]):
+            place = elements.ended(tag)
+            if place >= 0:
+                if elements.levels and elements.levels[-1] >= place:
                     close()
-                del stack[k:]
-                out, home, link = stack[-1][1:] if stack else (False, 0, False)
+                elements.cut(place)
+                out, home, link = elements.state()
             continue
         if tag in RAW:
-            if raw.endswith("/>") and tag == "iframe":
+            if raw.endswith("/") and tag == "iframe":
                 continue
             gone = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             at = gone.end() if gone else len(html)
@@ -156,14 +200,12 @@ def blocks(html: str) -> tuple[list[Block], dict[int, str]]:
             continue
         if tag in BLOCK:
             close()
-            for k in range(len(stack) - 1, -1, -1):  # these end where the next one begins
-                x = stack[k][0]
-                if x == "p" or x == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                    del stack[k:]
-                    out, home, link = stack[-1][1:] if stack else (False, 0, False)
-                    break
-                if x in BLOCK:
-                    break
+            if elements.levels:  # these end where the next one begins
+                level = elements.levels[-1]
+                inner = elements.stack[level][0]
+                if inner == "p" or inner == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
+                    elements.cut(level)
+                    out, home, link = elements.state()
         if tag in VOID:
             continue
         out = out or _is_out(tag, raw, home > 0)
@@ -171,58 +213,67 @@ def blocks(html: str) -> tuple[list[Block], dict[int, str]]:
         if tag in ("article", "main") or "articlebody" in raw.lower():
             home = len(homes) + 1
             homes[home] = "main" if tag == "main" else "article"
-        stack.append((tag, out, home, link))
+        elements.push(tag, out, home, link)
     close()
     return found, homes
 
 
-def _decide(b: Block, marked: bool) -> int:
-    """The first pass. marked: whether the block is inside the page's marked article."""
-    if b.out:
-        return BAD
-    chars = len(b.text) - b.text.count(" ")
-    if b.links > LINKS * max(chars, 1):
-        return BAD
-    if len(b.text) < SHORT:
-        return AMBIGUOUS
-    words = b.text.lower().split()
-    stop = sum(w in STOP or STRIP.sub("", w) in STOP for w in words) / len(words)
-    if stop >= STOP_HIGH or stop >= STOP_LOW and len(b.text) >= LONG:
-        return GOOD
-    return AMBIGUOUS if marked or stop >= STOP_LOW or len(b.text) < LONG else BAD
+def stop_share(text: str) -> float:
+    words = WORD.findall(text.lower())
+    return sum(w in STOP for w in words) / max(1, len(words))
 
 
-def extract(html: str | None) -> str:
-    """The main text: its blocks joined by newlines."""
+def points(b: Block, inside: bool, marked: bool) -> int:
+    """What speaks for a block (above zero) or against it. marked: whether the page marks an article, inside: whether
+    the block is in it."""
+    total = 0
+    if b.links > LINKS * max(len(b.text) - b.text.count(" "), 1):
+        total -= 2
+    elif len(b.text) >= SHORT:
+        share = stop_share(b.text)
+        total += 2 if share >= STOP_HIGH else 1 if share >= STOP_LOW else 0
+        total += 0 if len(b.text) < LONG else 1 if share >= STOP_LOW else -2
+    if b.out or marked and not inside:
+        return total - 8
+    return total + (1 if inside else 0)
+
+
+def judged(html: str | None) -> list[Block]:
+    """The blocks of a page with their labels, and the pass (`turn`) that gave them."""
     found, homes = blocks(html or "")
-    inside = {h for h, t in homes.items() if t == "article"}
-    if not any(b.home in inside and not b.out for b in found):
-        inside = set(homes)
-    marked = any(b.home in inside and not b.out for b in found)
+    named = {h for h, t in homes.items() if t == "article"}
+    if not any(b.home in named and not b.out for b in found):
+        named = set(homes)
+    marked = any(b.home in named and not b.out for b in found)
     for b in found:
-        b.label = BAD if marked and b.home not in inside else _decide(b, marked)
-    if marked:  # what markup has ruled out says nothing of its neighbours
-        found = [b for b in found if b.home in inside and not b.out]
-    before, last = [], None
-    for i, b in enumerate(found):
+        p = points(b, b.home in named, marked)
+        b.label = GOOD if p >= ENOUGH else BAD if p <= -ENOUGH else AMBIGUOUS
+    # In a marked article what markup has ruled out is no neighbour: the text goes on behind an advert.
+    near = [b for b in found if b.home in named and not b.out] if marked else found
+    decided = [i for i, b in enumerate(near) if b.label]
+    k = 0
+    for i, b in enumerate(near):
         if b.label:
-            last = (i, b.label)
-        before.append(last)
-    last = None
-    for i in range(len(found) - 1, -1, -1):
-        b = found[i]
-        if b.label:
-            last = (i, b.label)
             continue
-        x, y = before[i], last
-        if x and y and x[1] != y[1]:  # good wins a tie; inside a marked article it always does
-            near = GOOD if marked or abs((x if x[1] > 0 else y)[0] - i) <= abs((x if x[1] < 0 else y)[0] - i) else BAD
-        else:
-            near = (x or y or (0, GOOD if marked or len(b.text) >= SHORT else BAD))[1]
-            if marked and not (x and y):
-                near = GOOD
-        b.label = 2 * near  # second pass: not seen as decided by others
-    return "\n".join(b.text for b in found if b.label > 0)
+        while k < len(decided) and decided[k] < i:
+            k += 1
+        before = decided[k - 1] if k else None
+        after = decided[k] if k < len(decided) else None
+        b.turn = 2
+        if before is None and after is None:
+            b.label = GOOD if marked or len(b.text) >= SHORT else BAD
+        elif before is None or after is not None and after - i < i - before:
+            b.label = near[after].label
+        elif after is None or i - before < after - i:
+            b.label = near[before].label
+        else:  # good wins a tie
+            b.label = max(near[before].label, near[after].label)
+    return found
+
+
+def extract(html: str | None) -> str:
+    """The main text: its blocks joined by newlines."""
+    return "\n".join(b.text for b in judged(html) if b.label > 0)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
