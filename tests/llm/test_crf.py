@@ -29,6 +29,86 @@ def test_marginals_against_all_labelings():
     assert np.allclose(got, want) and np.allclose(count, pairs)
 
 
+def slow_marginals(node, edge, starts):
+    """Forward and backward, line by line."""
+    out = np.zeros(len(node))
+    for i, j in zip(starts, starts[1:]):
+        ahead, back = np.zeros((j - i, 2)), np.zeros((j - i, 2))
+        for k in range(j - i):
+            ahead[k] = [0, node[i + k]]
+            if k:
+                ahead[k] += np.logaddexp.reduce(ahead[k - 1][:, None] + edge, axis=0)
+        for k in range(j - i - 2, -1, -1):
+            back[k] = np.logaddexp.reduce(edge + [0, node[i + k + 1]] + back[k + 1], axis=1)
+        odds = (ahead + back) @ [-1, 1]
+        out[i:j] = 1 / (1 + np.exp(-odds))
+    return out
+
+
+def test_marginals_of_long_chains(monkeypatch):
+    rng = np.random.default_rng(4)
+    for segment, sizes in ((512, [3, 2000, 0, 512, 513, 1]), (4, [1, 4, 5, 8, 9, 37, 0]), (1, [3, 1, 7])):
+        monkeypatch.setattr(crf, "SEGMENT", segment)
+        starts = np.append(0, np.cumsum(sizes))
+        node, edge = 2 * rng.normal(size=starts[-1]), rng.normal(size=(2, 2))
+        bad, count = crf.marginals(node, edge, starts)
+        assert np.allclose(bad, slow_marginals(node, edge, starts))
+        assert np.isclose(count.sum(), sum(max(0, n - 1) for n in sizes))
+
+
+def test_nodes_are_the_potentials_of_the_features(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = ["a b\nC D!!\n\n x | y", None, "one", "\n".join(f"line {i} " * (i % 4 + 1) for i in range(300)), "", "z\nz"]
+    x, size, starts = crf.features(texts)
+    for cut, together in ((1 << 20, 1 << 16), (50, 7)):
+        monkeypatch.setattr(crf, "CUT", cut)
+        monkeypatch.setattr(crf, "TOGETHER", together)
+        model = crf.Model(rng.normal(size=crf.FEATURES), 1 + rng.random(crf.FEATURES), rng.normal(size=crf.FEATURES), np.zeros((2, 2)), (0, 0), 0.5)
+        node, sizes, at = model.nodes(texts)
+        assert at.tolist() == starts.tolist() and sizes.tolist() == size.tolist()
+        assert np.allclose(node, np.clip((x - model.mean) / model.scale, -8, 8) @ model.weights, atol=1e-4)
+
+
+def test_runs_are_of_neighbours():
+    assert crf.runs(0) == [] and crf.runs(5) == [(0, 5)] and crf.runs(400) == [(0, 400)]
+    found = crf.runs(10_000)
+    assert found[0][0] == 0 and found[-1][1] == 10_000 and sum(j - i for i, j in found) == crf.LINES and len(found) == crf.RUNS
+    assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+
+
+def test_transitions_of_long_documents(spark):
+    """Runs of a long document's lines teach the same chain as all of its lines do."""
+    good, bad = "the river and the stone of light", "### $$$ @@@ ###"
+    rows = [(i, "\n".join(([good] * 9 + [bad] * 9 * (i % 2)) * 100)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, quality int")
+    some, whole = crf.train(docs, labels), crf.train(docs, labels, lines=10**6)
+    tie = lambda m: m.transitions[0, 0] + m.transitions[1, 1] - m.transitions[0, 1] - m.transitions[1, 0]  # the rest is a shift
+    assert abs(tie(some) - tie(whole)) < 0.25 and tie(some) > 1
+    assert {r.doc_id: r.predicted for r in crf.classify(docs, labels).collect()} == {i: 1 - i % 2 for i in range(40)}
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    seen = []
+    real = crf.fit
+    monkeypatch.setattr(crf, "fit", lambda x, size, starts, quality, owner: seen.append((len(x), len(quality))) or real(x, size, starts, quality, owner))
+    rows = [(i % 3, f"text {i}\nof lines\n" * 30) for i in range(300)]
+    crf.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int"), lines=20)
+    assert seen[0][1] <= 3 and seen[0][0] <= 60
+
+
+def test_very_many_lines():
+    """A long text of tiny lines: memory and time stay within bounds."""
+    import resource
+    import time
+
+    model = crf.Model(np.zeros(crf.FEATURES), np.ones(crf.FEATURES), np.full(crf.FEATURES, 0.01), np.array([[0.5, -0.5], [-0.5, 0.5]]), (0.0, -1.0), 0.5)
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.perf_counter()
+    assert 0 < model.scores(["x\n" * 2_000_000])[0] < 1
+    assert time.perf_counter() - began < 60
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000  # kB
+
+
 def test_features_of_lines():
     x, size, starts = crf.features(["One line here\n\n  \nTWO!!", None, "", "a | b | c"])
     assert starts.tolist() == [0, 2, 2, 2, 3] and size.tolist() == [13, 5, 9]

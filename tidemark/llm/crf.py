@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import frugal, pieces
 
-#: The bounds of the training sample: labelled documents, and lines of each that are learned from (evenly spread).
-DOCUMENTS, LINES = 3000, 400
+#: The bounds of the training sample: labelled documents, and lines of each that are learned from; a document with more
+#: gives so many runs of neighbouring lines, evenly spread, each a chain of its own.
+DOCUMENTS, LINES, RUNS = 3000, 400, 4
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 SEED = 42
@@ -27,8 +28,10 @@ OWN = 12
 FEATURES = 3 * OWN + 3
 #: Share of bad text below which documents are told apart by degrees only.
 LEAST = 1e-3
-#: Bytes of text whose lines are held at a time.
-BYTES = 4_000_000
+#: Bytes of text that are held at a time, and characters of a text and lines that are looked at together.
+BYTES, CUT, TOGETHER = 4_000_000, 1 << 20, 1 << 16
+#: Steps of a chain that are taken one after another; longer chains are cut into such segments.
+SEGMENT = 512
 
 
 def _classes():
@@ -40,19 +43,23 @@ def _classes():
     return table
 
 
-def features(texts: list[str | None]):
-    """(features, bytes) of all lines that aren't blank, and where each document's lines start, with the end added."""
+def lines_of(text: str | None) -> Iterator[list[str]]:
+    """The lines of a text that aren't blank, some at a time."""
+    text, at = text or "", 0
+    while at < len(text):
+        stop = text.find("\n", at + CUT)
+        stop = len(text) if stop < 0 else stop + 1
+        yield [x for x in text[at:stop].split("\n") if x and not x.isspace()]
+        at = stop
+
+
+def own_features(lines: list[str]):
+    """(features, bytes) of lines by themselves."""
     import numpy as np
 
-    lines: list[str] = []
-    starts = [0]
-    for t in texts:
-        lines += [x for x in (t or "").split("\n") if x and not x.isspace()]
-        starts.append(len(lines))
-    starts = np.array(starts)
     n = len(lines)
     if not n:
-        return np.zeros((0, FEATURES), np.float32), np.zeros(0), starts
+        return np.zeros((0, OWN), np.float32), np.zeros(0)
     words = np.empty((n, 3), np.int64)
     for i, x in enumerate(lines):
         ws = x.split()
@@ -71,16 +78,48 @@ def features(texts: list[str | None]):
     own[:, 9] = words[:, 2] / total
     own[:, 10] = np.log1p((size - count[:, 6]) / total)
     own[:, 11] = (1 - own[:, 8]) * np.log1p(total)
-    out = np.zeros((n, FEATURES), np.float32)
+    return own, size.astype(float)
+
+
+def _ends(starts):
+    """The places of the first and of the last line of each document that has some."""
+    import numpy as np
+
+    some = np.flatnonzero(np.diff(starts))
+    return starts[some], starts[some + 1] - 1
+
+
+def features(texts: list[str | None]):
+    """(features, bytes) of all lines that aren't blank, and where each document's lines start, with the end added."""
+    import numpy as np
+
+    parts, starts = [own_features([])], [0]
+    for t in texts:
+        n = 0
+        for lines in lines_of(t):
+            parts.append(own_features(lines))
+            n += len(lines)
+        starts.append(starts[-1] + n)
+    own, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+    starts = np.array(starts)
+    out = np.zeros((len(own), FEATURES), np.float32)
     out[:, :OWN] = own
     out[1:, OWN : 2 * OWN] = own[:-1]
     out[:-1, 2 * OWN : 3 * OWN] = own[1:]
-    some = np.flatnonzero(np.diff(starts))
-    first, last = starts[some], starts[some + 1] - 1
+    first, last = _ends(starts)
     out[first, OWN : 2 * OWN] = own[first]  # at the ends of a document a line stands in for its missing neighbour
     out[last, 2 * OWN : 3 * OWN] = own[last]
     out[first, -3], out[last, -2], out[:, -1] = 1, 1, 1
-    return out, size.astype(float), starts
+    return out, size, starts
+
+
+def runs(n: int, lines: int = LINES, parts: int = RUNS) -> list[tuple[int, int]]:
+    """The stretches of a document of n lines that are learned from: all of it, or `parts` that hold `lines` in all."""
+    if n <= lines:
+        return [(0, n)] if n else []
+    size = max(1, lines // parts)
+    starts = [k * (n - size) // max(1, parts - 1) for k in range(parts)]
+    return [(i, i + size) for i in starts]
 
 
 @dataclass
@@ -92,14 +131,52 @@ class Model:
     curve: tuple[float, float]  # log-odds of a good document: first + second * log-odds of bad text
     prior: float  # the score of a document without lines
 
+    def nodes(self, texts: list[str | None]):
+        """(potentials, bytes) of all lines, and where each document's lines start, with the end added.
+
+        What a line says of itself and of its neighbours is summed up for some lines at a time, so what is held of a
+        line are four numbers, however many lines there are.
+        """
+        import numpy as np
+
+        says, starts, held = [(np.zeros((0, 3)), np.zeros(0))], [0], []
+
+        def look() -> None:
+            own, size = own_features(held)
+            parts = [np.clip((own - self.mean[k : k + OWN]) / self.scale[k : k + OWN], -8, 8) @ self.weights[k : k + OWN] for k in (0, OWN, 2 * OWN)]
+            says.append((np.stack(parts, axis=1), size))
+            held.clear()
+
+        for t in texts:
+            n = 0
+            for lines in lines_of(t):
+                n += len(lines)
+                held += lines
+                if len(held) >= TOGETHER:
+                    look()
+            starts.append(starts[-1] + n)
+        look()
+        said, size = (np.concatenate(x) for x in zip(*says, strict=True))
+        starts = np.array(starts)
+        first, last = _ends(starts)
+        node = said[:, 0].copy()
+        node[1:] += said[:-1, 1]
+        node[:-1] += said[1:, 2]
+        # At the ends of a document a line stands in for its missing neighbour.
+        node[first] += said[first, 1] - np.where(first > 0, said[first - 1, 1], 0)
+        node[last] += said[last, 2] - np.where(last + 1 < len(node), said[np.minimum(last + 1, len(node) - 1), 2], 0)
+        flags = lambda on: np.clip((on - self.mean[-3:]) / self.scale[-3:], -8, 8) @ self.weights[-3:]
+        node += flags(np.array([0.0, 0.0, 1.0]))
+        node[first] += flags(np.array([1.0, 0.0, 1.0])) - flags(np.array([0.0, 0.0, 1.0]))
+        node[last] += flags(np.array([0.0, 1.0, 1.0])) - flags(np.array([0.0, 0.0, 1.0]))
+        return node, size, starts
+
     def shares(self, texts: list[str | None]):
         """The share of bad text of each document, not a number where there is none."""
-        return self.of_lines(*features(texts))
-
-    def of_lines(self, x, size, starts):
         import numpy as np
 
-        bad, _ = marginals(potentials(self, x), self.transitions, starts)
+        node, size, starts = self.nodes(texts)
+        bad, _ = marginals(node, self.transitions, starts, False)
         out = np.full(len(starts) - 1, np.nan)
         some = np.flatnonzero(np.diff(starts))
         if len(some):
@@ -121,58 +198,105 @@ def _odds(share):
     return np.log((share + LEAST) / (1 - share + LEAST))
 
 
-def potentials(model: Model, x):
-    import numpy as np
-
-    return np.clip((x - model.mean) / model.scale, -8, 8) @ model.weights
-
+def marginals(node, edge, starts, pairs: bool = True):
+    """Each line's probability of being bad, and the expected number of each transition if `pairs` are wanted.
 
-def marginals(node, edge, starts):
-    """Each line's probability of being bad, and the expected number of each transition.
-
-    node is the score of bad against good for each line; edge the 2 by 2 scores from one label to the next. Documents
-    move in step, the longest ones last, so the loop runs over places in a document and not over documents.
+    node is the score of bad against good for each line; edge the 2 by 2 scores from one label to the next. Chains are
+    cut into segments that move in step, the longest ones last, so loops run over places in a segment; what a segment
+    makes of either label before it ties those of a long chain together.
     """
     import numpy as np
 
-    sizes = np.diff(starts)
-    order = np.argsort(-sizes, kind="stable")
-    begin, sizes = starts[:-1][order], sizes[order]
-    ahead, back = np.zeros((len(node), 2)), np.zeros((len(node), 2))
     count = np.zeros((2, 2))
     if not len(node):
         return np.zeros(0), count
-    longest = int(sizes[0])
-    active = np.searchsorted(-sizes, -np.arange(longest), side="left")  # documents with more lines than the place
-    both = np.stack([np.zeros(len(node)), node], axis=1)
-    now = begin[: active[0]]
-    ahead[now] = both[now]
-    for t in range(1, longest):
-        now = begin[: active[t]] + t
-        x = ahead[now - 1]
-        ahead[now, 0] = np.logaddexp(x[:, 0] + edge[0, 0], x[:, 1] + edge[1, 0])
-        ahead[now, 1] = np.logaddexp(x[:, 0] + edge[0, 1], x[:, 1] + edge[1, 1]) + node[now]
-    for t in range(longest - 1, 0, -1):
-        now = begin[: active[t]] + t
-        y = back[now] + both[now]
-        back[now - 1, 0] = np.logaddexp(y[:, 0] + edge[0, 0], y[:, 1] + edge[0, 1])
-        back[now - 1, 1] = np.logaddexp(y[:, 0] + edge[1, 0], y[:, 1] + edge[1, 1])
-    whole = ahead + back
-    bad = 1 / (1 + np.exp(np.clip(whole[:, 0] - whole[:, 1], -700, 700)))
-    inner = np.ones(len(node), bool)
-    inner[begin[sizes > 0]] = False
-    now = np.flatnonzero(inner)
-    if len(now):
-        z = np.logaddexp(whole[now, 0], whole[now, 1])
-        y = back[now] + both[now]
-        for a in (0, 1):
-            for b in (0, 1):
-                count[a, b] = np.exp(np.minimum(ahead[now - 1, a] + edge[a, b] + y[:, b] - z, 0)).sum()
+    sizes = np.diff(starts)
+    parts = -(-sizes // SEGMENT)
+    owner = np.repeat(np.arange(len(sizes)), parts)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = starts[:-1][owner] + number * SEGMENT
+    length = np.minimum(SEGMENT, starts[1:][owner] - begin)
+    initial, final = number == 0, number == parts[owner] - 1
+
+    def walk(some):
+        """Segments by length, and for each step those that have one more line."""
+        order = some[np.argsort(-length[some], kind="stable")]
+        steps = int(length[order[0]]) if len(order) else 0
+        return order, np.searchsorted(-length[order], -np.arange(steps), side="left")
+
+    # What enters a segment from before, and from behind, as log-odds of bad.
+    enter, leave = np.zeros(len(owner)), np.zeros(len(owner))
+    long = np.flatnonzero(parts[owner] > 1)
+    if len(long):
+        order, active = walk(long)
+        across = np.zeros((len(owner), 2, 2))  # from the label before the segment to its last one
+        for t, n in enumerate(active):
+            now = order[:n]
+            x = across[now]
+            if t:
+                x = np.logaddexp(x[:, :, :1] + edge[None, :1, :], x[:, :, 1:] + edge[None, 1:, :])
+            else:
+                x = x + edge
+            x[:, :, 1] += node[begin[now] + t, None]
+            across[now] = x
+        heads = node[begin] + 0.0
+        for k in long:  # a step for each segment
+            if initial[k]:
+                odds = _inside(heads[k], node[begin[k] + 1 : begin[k] + length[k]], edge)
+            else:
+                enter[k] = odds
+                m = across[k]
+                odds = np.logaddexp(m[0, 1], odds + m[1, 1]) - np.logaddexp(m[0, 0], odds + m[1, 0])
+        for k in long[::-1]:
+            if final[k]:
+                odds = 0.0
+            leave[k] = odds
+            m = across[k]
+            odds = np.logaddexp(m[1, 0], m[1, 1] + odds) - np.logaddexp(m[0, 0], m[0, 1] + odds)
+
+    ahead, back = np.empty(len(node)), np.empty(len(node))
+    order, active = walk(np.arange(len(owner)))
+    on = lambda x: np.logaddexp(edge[0, 1], x + edge[1, 1]) - np.logaddexp(edge[0, 0], x + edge[1, 0])
+    off = lambda y: np.logaddexp(edge[1, 0], edge[1, 1] + y) - np.logaddexp(edge[0, 0], edge[0, 1] + y)
+    for t, n in enumerate(active):
+        now = begin[order[:n]] + t
+        ahead[now] = (on(ahead[now - 1]) if t else np.where(initial[order[:n]], 0.0, on(enter[order[:n]]))) + node[now]
+    back[begin + length - 1] = leave
+    for t in range(len(active) - 1, 0, -1):
+        now = begin[order[: active[t]]] + t
+        back[now - 1] = off(back[now] + node[now])
+    bad = 1 / (1 + np.exp(np.clip(-(ahead + back), -700, 700)))
+    if pairs:
+        inner = np.ones(len(node), bool)
+        inner[starts[:-1][sizes > 0]] = False
+        now = np.flatnonzero(inner)
+        if len(now):
+            y = back[now] + node[now]
+            parts = np.stack([edge[a, b] + a * ahead[now - 1] + b * y for a in (0, 1) for b in (0, 1)])
+            parts = np.exp(parts - parts.max(0))
+            count = (parts / parts.sum(0)).sum(1).reshape(2, 2)
     return bad, count
 
 
-def fit(x, size, starts, quality) -> Model:
-    """A model from the lines' features and the labels of their documents (1 good, 0 bad)."""
+def _inside(first: float, nodes, edge) -> float:
+    """The log-odds at the end of a chain's first segment."""
+    import math
+
+    def lae(a, b):
+        return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+    x = float(first)
+    (a, b), (c, d) = edge.tolist()
+    for y in nodes.tolist():
+        x = lae(b, x + d) - lae(a, x + c) + y
+    return x
+
+
+def fit(x, size, starts, quality, owner=None) -> Model:
+    """A model from the lines' features and the labels of their documents (1 good, 0 bad).
+
+    owner, if given, names the document of each chain; chains of one document stand together.
+    """
     import numpy as np
 
     quality = np.asarray(quality, float)
@@ -185,8 +309,11 @@ def fit(x, size, starts, quality) -> Model:
     if not len(x) or prior in (0.0, 1.0):
         return model  # one label only: nothing to tell apart
     z = np.clip((x - mean) / scale, -8, 8)
-    doc = np.repeat(np.arange(len(quality)), np.diff(starts))
+    owner = np.arange(len(starts) - 1) if owner is None else np.asarray(owner)
+    doc = np.repeat(owner, np.diff(starts))
     bad = 1 - quality[doc]
+    if bad.min() == bad.max():
+        return model  # the lines at hand are of one kind
     weight = np.where(bad > 0, 0.5 / bad.mean(), 0.5 / (1 - bad).mean())
     for _ in range(STEPS):  # first round: lines by themselves, both labels of equal weight
         p = 1 / (1 + np.exp(-np.clip(z @ model.weights, -30, 30)))
@@ -210,9 +337,10 @@ def fit(x, size, starts, quality) -> Model:
             second[k] = 0.99 * second[k] + 0.01 * g * g
             moves.append(RATE * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8))
         model.weights, model.transitions = model.weights + moves[0], model.transitions + moves[1]
-    share = model.of_lines(x, size, starts)
-    known = ~np.isnan(share)
-    odds, target = _odds(share[known]), quality[known]
+    p, _ = marginals(z @ model.weights, model.transitions, starts, False)
+    length = np.bincount(doc, size, len(quality))
+    known = length > 0
+    odds, target = _odds(np.bincount(doc, p * size, len(quality))[known] / length[known]), quality[known]
     design = np.stack([np.ones(len(odds)), odds], axis=1)
     curve = np.zeros(2)
     for _ in range(50):
@@ -228,11 +356,11 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, documents: int = DOCUMENTS, seed: int = SEED) -> Model:
-    """Fit a model on at most `documents` labelled documents that aren't held out.
+def train(docs: DataFrame, labels: DataFrame, documents: int = DOCUMENTS, lines: int = LINES, seed: int = SEED) -> Model:
+    """Fit a model on at most `documents` labelled documents that aren't held out, and `lines` lines of each.
 
     docs has doc_id and text, labels has doc_id and quality. The sample is that of the smallest seeded hashes of the
-    ids, so reruns agree; only its features reach the driver.
+    ids, so reruns agree; only its features reach the driver, one row for each id, whatever the ids are repeated.
     """
     import numpy as np
 
@@ -243,20 +371,24 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = DOCUMENTS, seed:
         import pyarrow as pa
 
         for b in pieces(batches, "text", BYTES):
-            x, size, starts = features(b.column("text").to_pylist())
-            out = []
-            for i, j in zip(starts[:-1], starts[1:], strict=True):
-                some = np.unique(np.linspace(i, j - 1, min(LINES, j - i)).astype(int)) if j > i else np.zeros(0, int)
-                out.append(np.concatenate([x[some], size[some, None]], axis=1).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(out, pa.binary())], names=["doc_id", "quality", "lines"])
+            out, cuts = [], []
+            for t in b.column("text").to_pylist():
+                x, size, starts = features([t])
+                stretches = runs(int(starts[-1]), lines)
+                rows = np.concatenate([np.arange(i, j) for i, j in stretches]) if stretches else np.zeros(0, int)
+                out.append(np.concatenate([x[rows], size[rows, None]], axis=1).astype("<f4").tobytes())
+                cuts.append([j - i for i, j in stretches])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(out, pa.binary()), pa.array(cuts, pa.list_(pa.int32()))], names=["doc_id", "quality", "lines", "cuts"])
 
     # The labels in the sample are bounded by `documents`, so they can go to every task and the texts stay in place.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
-    rows = sorted((r.doc_id, bytes(r.lines), r.quality) for r in rows.mapInArrow(frugal(run), "doc_id long, quality int, lines binary").collect())
-    lines = [np.frombuffer(x, "<f4").reshape(-1, FEATURES + 1) for _, x, _ in rows]
-    starts = np.append(0, np.cumsum([len(x) for x in lines], dtype=int)) if lines else np.zeros(1, int)
-    both = np.concatenate(lines) if lines else np.zeros((0, FEATURES + 1), np.float32)
-    return fit(both[:, :-1].astype(float), both[:, -1].astype(float), starts, [q for _, _, q in rows])
+    rows = rows.mapInArrow(frugal(run), "doc_id long, quality int, lines binary, cuts array<int>").groupBy("doc_id", "quality").agg(F.min(F.struct("lines", "cuts")).alias("held"))
+    rows = sorted(rows.select("doc_id", "quality", "held.*").collect(), key=lambda r: r.doc_id)
+    table = [np.frombuffer(bytes(r.lines), "<f4").reshape(-1, FEATURES + 1) for r in rows]
+    cuts = [n for r in rows for n in r.cuts]
+    owner = [k for k, r in enumerate(rows) for _ in r.cuts]
+    both = np.concatenate(table) if table else np.zeros((0, FEATURES + 1), np.float32)
+    return fit(both[:, :-1].astype(float), both[:, -1].astype(float), np.append(0, np.cumsum(cuts, dtype=int)), [r.quality for r in rows], np.array(owner, int))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
