@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing
@@ -52,6 +53,19 @@ def test_mix(spark):
         assert abs(taken[s] - goal[s]) <= max([size(t) for _, t, x in rows if x == s]) + 1, s
 
 
+def test_many_rows_alike(spark, monkeypatch):
+    """Rows without id, or all alike, are as many documents, and no window sees them one by one."""
+    rows = [(None, "w w", "a")] * 300 + [(None, f"w{i} x", "a") for i in range(300)] + [(7, "y", "b")] * 100
+    got = mixing.mix_sources(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == len(rows) and all(r.taken % r.size == 0 and r.taken <= 3 * r.size for r in got)
+    goal = want_targets({"a": 1200, "b": 100})
+    for s, ids in (("a", {None}), ("b", {7})):
+        assert abs(sum(r.taken for r in got if r.doc_id in ids) - goal[s]) <= 3
+    monkeypatch.setattr(mixing, "PATTERNS", 1)
+    with pytest.raises(ValueError, match="patterns"):
+        mixing.mix_sources(spark.createDataFrame(rows, SCHEMA))
+
+
 def test_empty(spark):
     assert mixing.mix_sources(spark.createDataFrame([], SCHEMA)).collect() == []
 

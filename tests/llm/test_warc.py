@@ -1,4 +1,7 @@
 import hashlib
+import re
+
+import pytest
 
 from tidemark.llm import warc
 
@@ -26,6 +29,37 @@ def test_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_ids_of_another_type_and_very_long_payloads(spark):
+    data = [(1, "u", "a\r\n\r\nb" * 1_000_000), (2, "u", "a\r\n\r\nb" * 1_000_000), (3, "u", "\r\n\r\n"), (4, "u", "\r\n\r\n" * 300)]
+    got = warc.round_trip(spark.createDataFrame(data, "page_id int, url string, html string"))
+    assert got.schema["refers_to"].dataType.simpleString() == "int"
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, brute(data)))
+
+
+def test_wrong_records_are_found(spark, tmp_path):
+    """A header whose length or digest isn't that of its block ends the job."""
+    data = [(1, "u", "x" * 2000), (2, "u", "x" * 2000)]
+    for k, (old, new) in enumerate((("2100", "2101"), ("sha1:", "sha1:0"))):
+        path = f"{tmp_path}/{k}"
+        warc.write(spark.createDataFrame(data, SCHEMA), path)
+        heads = spark.read.parquet(f"{path}/headers").collect()
+        text = bytes(heads[0].header).decode()
+        length = max(re.findall(r"Content-Length: (\d+)", "".join(bytes(h.header).decode() for h in heads)), key=int)
+        old = f"Content-Length: {length}" if k == 0 else old
+        new = f"Content-Length: {int(length) + 1}" if k == 0 else new
+        bad = [(h.page_id, h.sha256, bytearray(bytes(h.header).decode().replace(old, new, 1).encode())) for h in heads]
+        spark.createDataFrame(bad, "page_id long, sha256 string, header binary").write.mode("overwrite").parquet(f"{path}/headers")
+        with pytest.raises(Exception, match="corrupt record"):
+            warc.facts(spark, path).collect()
+        assert "WARC/1.1" in text
+
+
+def test_payloads_meet_headers_in_place(spark, tmp_path):
+    warc.write(spark.createDataFrame(rows(), SCHEMA), f"{tmp_path}/a")
+    plan = warc.records(spark, f"{tmp_path}/a")._jdf.queryExecution().optimizedPlan().toString()
+    assert "payload" in plan and spark.sql("show tables").filter("tableName like 'tidemark_%'").count() == 0
+
+
 def test_records_can_be_read_as_warc(spark, tmp_path):
     warc.write(spark.createDataFrame(rows(), SCHEMA), f"{tmp_path}/a")
     assert warc.payloads(spark, f"{tmp_path}/a").count() == len({h or "" for _, _, h in rows()})

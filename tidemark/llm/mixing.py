@@ -21,6 +21,9 @@ REPEATS = 3
 SEED = 42
 #: Parts of the seeded order of a pattern; each is summed up on its own.
 PARTS = 4096
+#: Patterns whose sizes the driver takes. Documents in one source each have as many as there are sources; a source that is
+#: nearly as fine as the documents is refused rather than gathered.
+PATTERNS = 1_000_000
 #: A plan of so many patterns at most is broadcast (a few hundred bytes each); a larger one is joined by shuffle.
 BROADCAST = 10_000
 
@@ -120,23 +123,29 @@ def _solve(supply: dict, quota: dict, repeats: int) -> dict:
     return {(names[to[e ^ 1]], names[to[e]]): room[e ^ 1] for e in range(0, len(to), 2) if to[e ^ 1] > 1 and to[e] > 1 and room[e ^ 1] > 0}
 
 
-def mix(docs: DataFrame, members: Column, size: Column, weights=None, total: float | None = None, repeats: int = REPEATS, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, members: Column, size: Column, weights=None, total: float | None = None, repeats: int = REPEATS, seed: int = SEED, id_col: str = "doc_id", mark: Column | None = None) -> DataFrame:
     """One row per row of docs: id, members, size, copies (a map of source to count), taken, source_sizes, targets.
 
     members is an array of the sources that a document is in; a null in it is a source of its own, last in order.
     weights maps the number of a source in that order to its weight (5, 2, 1 repeating, if none is given); total is the
-    number of words to take (those of all documents, if none is given).
+    number of words to take (those of all documents, if none is given). mark, if given, is a number of a row's content:
+    rows without id, or with one id, take places of their own by it.
     """
     weigh = weights or (lambda i: WEIGHTS[i % len(WEIGHTS)])
     spark = docs.sparkSession
     # A source as a key: "0" and its name, or "1" for null, so that keys sort as sources do.
     keys = F.array_sort(F.array_distinct(F.transform(F.coalesce(members, F.array().cast("array<string>")), lambda s: F.when(s.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), s)))))
-    order = F.xxhash64(F.lit(seed), F.col("id"))
-    base = docs.select(F.col(id_col).alias("id"), keys.alias("pattern"), size.alias("size"))
-    base = stored(base.select("*", order.alias("h")).withColumn("bucket", F.pmod("h", F.lit(PARTS)).cast("int")), "mix")
+    order = F.xxhash64(F.lit(seed), F.col("id"), "size", "mark")
+    base = docs.select(F.col(id_col).alias("id"), keys.alias("pattern"), size.alias("size"), (F.lit(0) if mark is None else mark).cast("long").alias("mark"))
+    # Rows that are alike in all that matters stand side by side; they are counted, and dealt with as one.
+    base = base.select("*", order.alias("h")).groupBy("pattern", "id", "size", "h").agg(F.count("*").alias("alike"))
+    base = stored(base.withColumn("bucket", F.pmod("h", F.lit(PARTS)).cast("int")), "mix")
 
     # One row for each pattern: the sources' own overlaps, not the documents, set its length.
-    supply = {tuple(r.pattern): int(r.n) for r in base.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
+    found = base.groupBy("pattern").agg(F.sum(F.col("size") * F.col("alike")).alias("n")).limit(PATTERNS + 1).collect()
+    if len(found) > PATTERNS:
+        raise ValueError(f"the documents' sources form more than {PATTERNS} patterns")
+    supply = {tuple(r.pattern): int(r.n) for r in found}
     sizes: dict[str, int] = defaultdict(int)
     for p, n in supply.items():
         for s in p:
@@ -155,10 +164,11 @@ def mix(docs: DataFrame, members: Column, size: Column, weights=None, total: flo
     table = spark.createDataFrame(plan, "pattern array<string>, pattern_size long, flow long, spans array<struct<source string, start long, stop long>>, source_sizes array<long>, targets array<double>")
     table = F.broadcast(table) if len(plan) <= BROADCAST else table
 
-    parts = base.groupBy("pattern", "bucket").agg(F.sum("size").alias("n"))
+    parts = base.groupBy("pattern", "bucket").agg(F.sum(F.col("size") * F.col("alike")).alias("n"))
     parts = parts.select("pattern", "bucket", (F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("n")).alias("before"))
     own = Window.partitionBy("pattern", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = base.withColumn("upto", F.sum("size").over(own)).join(parts, ["pattern", "bucket"]).join(table, "pattern")
+    placed = base.withColumn("upto", F.sum(F.col("size") * F.col("alike")).over(own)).join(parts, ["pattern", "bucket"]).join(table, "pattern")
+    placed = placed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("alike") - 1))).withColumn("upto", F.col("upto") - F.col("nth") * F.col("size"))
     # Copy k of a document is a stretch of the pattern's line, laid out `repeats` times; its middle decides.
     middle = "before + upto - size + size / 2.0D + k * pattern_size"
     spots = f"transform(sequence(0, {repeats - 1}), k -> {middle})"
@@ -172,9 +182,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     """One row per document: id, size, source_size, target, taken, each document being in its own source alone.
 
     Defined cases: a null text has size 0 and nothing of it is taken; a null source is a source of its own, last in
-    order; a null id takes its place in the seeded order like any id; rows with one id stand side by side, smaller
-    first, and repeated rows are separate documents; other columns are ignored; an empty table gives no rows. A source
+    order; rows without id, or with one id, take their places in the seeded order by their texts; repeated rows are
+    separate documents, side by side; other columns are ignored; an empty table gives no rows. A source
     differs from its target by no more than one of its documents. A source may hold any share of all rows.
     """
-    mixed = mix(docs, F.array(F.col(source)), words(text), repeats=repeats, seed=seed, id_col=id_col)
+    mixed = mix(docs, F.array(F.col(source)), words(text), repeats=repeats, seed=seed, id_col=id_col, mark=F.xxhash64(F.col(text)))
     return mixed.select(id_col, "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "taken")

@@ -46,7 +46,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Rows that share id, source and number of words can't be told apart by the mix; each gets the most that one has.
     """
-    mixed = mixing.mix(docs, F.array(F.col("source")), mixing.words())
+    mixed = mixing.mix(docs, F.array(F.col("source")), mixing.words(), mark=F.xxhash64("text"))
     taken = mixed.filter("taken > 0").select(F.struct(F.col("doc_id").alias("id"), F.expr("pattern[0]").alias("source"), "size").alias("key"), F.expr("cast(taken div size as int)").alias("copies"))
     taken = taken.groupBy("key").agg(F.max("copies").alias("copies"))
     named = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
