@@ -25,6 +25,28 @@ def test_store(spark, store):
     assert sorted(r.source_offset for r in store.log().collect()) == list(range(1, 169))
 
 
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    from tidemark.sources import tables
+
+    assert tables.is_local("local[4]") and tables.is_local("local") and not tables.is_local("local-cluster[2,1,1024]") and not tables.is_local("yarn")
+
+    class Fake:
+        conf = {}
+        sparkContext = type("C", (), {"master": "spark://x", "_jsc": type("J", (), {"sc": lambda s: type("S", (), {"getCheckpointDir": lambda s: type("O", (), {"isEmpty": lambda s: True})()})()})()})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_folder(Fake())
+
+
+def test_numbers_follow_the_order(spark):
+    from tidemark.store import numbered
+
+    rows = spark.createDataFrame([((7919 * k) % 1000, f"e{k}") for k in range(1000)], "t long, n string").repartition(7)
+    got = numbered(rows, ["t"], "place", 10).collect()
+    assert sorted((r.t, r.place) for r in got) == [(t, t + 11) for t in range(1000)]
+    assert numbered(rows.limit(0), ["t"], "place").collect() == []
+
+
 def test_http(store):
     web = api.server(api.Service(store), port=0)
     threading.Thread(target=web.serve_forever, daemon=True).start()
@@ -37,7 +59,7 @@ def test_http(store):
         except urllib.error.HTTPError as e:
             return e.code, e.read().decode()
 
-    status, text = call("/api/recommendations?user_id=maya")
+    status, text = call("/api/recommendations?user_id=ada")
     got = json.loads(text)
     assert status == 200 and len(got["recommendations"]) == 12 and got["serving"]["mode"] == "heuristic"
     assert got["features"]["event_count"] == 42 and store.exposures().count() == 12
@@ -45,7 +67,7 @@ def test_http(store):
     assert "tidemark" in call("/")[1]
     metrics = call("/metrics")[1]
     assert 'tidemark_recommendation_requests_total{mode="heuristic"} 1' in metrics and 'le="+Inf"} 1' in metrics
-    event = {"event_id": "h1", "user_id": "maya", "item_id": "title-01", "action": "like", "timestamp": 5}
+    event = {"event_id": "h1", "user_id": "ada", "item_id": "title-01", "action": "like", "timestamp": 5}
     post = lambda **x: call("/api/events", json.dumps({"events": [event | x]}).encode())
     assert post() == (200, '{"accepted":1,"duplicates":0}') and post() == (200, '{"accepted":0,"duplicates":1}')
     assert post(action="skip")[0] == 409 and post(action="jump")[0] == 400 and call("/api/events", b"{")[0] == 400 and call("/api/events", b'{"events":[]}')[0] == 400

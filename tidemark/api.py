@@ -102,7 +102,7 @@ class Service:
 
     def get(self, path: str, query: dict[str, list[str]]) -> tuple[int, dict | str]:
         if path == "/api/recommendations":
-            return 200, self.recommend(query.get("user_id", ["maya"])[0])
+            return 200, self.recommend(query.get("user_id", ["ada"])[0])
         if path == "/api/overview":
             return 200, {"stats": self.store.stats(), "model": self.model(), "timestamp": time.time(), "status": "healthy"}
         if path == "/api/model":

@@ -40,6 +40,14 @@ def bucket_of(salt: str, experiment: str, user: str, buckets: int = S.BUCKETS) -
     return int.from_bytes(hashlib.sha256(f"{salt}:{experiment}:{user}".encode()).digest()[:8], "big") % buckets
 
 
+def unused(columns, name: str) -> str:
+    """A column name that none of `columns` has, whatever its case."""
+    taken = {c.casefold() for c in columns}
+    while (name := f"_{name}").casefold() in taken:
+        pass
+    return name
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))))
 

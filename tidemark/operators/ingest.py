@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import schemas as S
+from tidemark.functions.events import unused
+from tidemark.sources.tables import settle
 
 
 class ConflictError(ValueError):
@@ -15,8 +17,8 @@ class ConflictError(ValueError):
 
 def latest(items: DataFrame, key: str = "item_id", order: str = "seq") -> DataFrame:
     """Upsert: of the rows with one key the one written last, by `order`."""
-    last = Window.partitionBy(key).orderBy(F.desc(order))
-    return items.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
+    last, n = Window.partitionBy(key).orderBy(F.desc(order)), unused(items.columns, "n")
+    return items.withColumn(n, F.row_number().over(last)).filter(F.col(n) == 1).drop(n)
 
 
 def put_items(known: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -91,7 +93,8 @@ def ingest(known: DataFrame, batch: DataFrame) -> tuple[DataFrame, Ingested]:
     clash = conflicts(own.unionByName(batch.select(S.EVENT_COLUMNS))).select("event_id").limit(1).collect()
     if clash:
         raise ConflictError(f"event {clash[0].event_id} already exists with different content")
-    fresh = batch.select(S.EVENT_COLUMNS).join(own.select("event_id"), "event_id", "left_anti").dropDuplicates(["event_id"])
+    # Settled: what is counted is what the caller writes, though the stored events change in between.
+    fresh = settle(batch.select(S.EVENT_COLUMNS).join(own.select("event_id"), "event_id", "left_anti").dropDuplicates(["event_id"]))
     accepted, total = fresh.count(), batch.count()
     return fresh, Ingested(accepted, total - accepted)
 

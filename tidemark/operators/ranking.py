@@ -32,24 +32,65 @@ def taste(genres: str = "genres", affinity: str = "genre_affinity") -> Column:
 
 
 def score(rows: DataFrame, plays: DataFrame) -> DataFrame:
-    """Candidates with plays, retrieval_score and rank_score; rows need the column variant.
+    """Candidates with plays, retrieval_score and rank_score; rows need the column variant."""
+    by = ["item_id"] if "as_of" not in plays.columns else ["as_of", "item_id"]
+    return scored(rows.join(plays.select(*by, "plays", "popularity"), by, "left"))
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """Candidates that have plays and popularity (null: never played) with their scores.
 
     Users without any event are scored by quality and freshness in place of taste and popularity.
     """
-    by = ["item_id"] if "as_of" not in plays.columns else ["as_of", "item_id"]
-    joined = rows.join(plays.select(*by, "plays", "popularity"), by, "left")
-    popular = F.coalesce("popularity", F.lit(0.0))
-    warm = S.TASTE_SHARE * taste() + S.POPULARITY_SHARE * popular
-    cold = S.COLD_QUALITY * F.col("quality") + S.COLD_FRESHNESS * F.col("freshness")
-    joined = joined.withColumn("retrieval_score", F.when(F.col("event_count") == 0, cold).otherwise(warm))
+    warm = S.TASTE_SHARE * taste() + S.POPULARITY_SHARE * F.coalesce("popularity", F.lit(0.0))
+    rows = rows.withColumn("retrieval_score", F.when(F.col("event_count") == 0, _cold()).otherwise(warm))
+    return rows.withColumn("plays", F.coalesce("plays", F.lit(0))).withColumn("rank_score", _blend(F.col("retrieval_score")))
+
+
+def _cold() -> Column:
+    return S.COLD_QUALITY * F.col("quality") + S.COLD_FRESHNESS * F.col("freshness")
+
 
-    def blend(weights) -> Column:
+def _blend(retrieval: Column) -> Column:
+    """The rank score of an arm (the column variant)."""
+
+    def of(weights) -> Column:
         r, q, f = weights
-        base = r * F.col("retrieval_score") + q * F.col("quality")
+        base = r * retrieval + q * F.col("quality")
         return base + f * F.col("freshness") if f else base
 
-    rank = F.when(F.col("variant") == "challenger", blend(S.CHALLENGER)).otherwise(blend(S.CONTROL))
-    return joined.withColumn("plays", F.coalesce("plays", F.lit(0))).withColumn("rank_score", rank)
+    return F.when(F.col("variant") == "challenger", of(S.CHALLENGER)).otherwise(of(S.CONTROL))
+
+
+#: Rank scores nearer than this may change places by rounding.
+MARGIN = 1e-8
+
+
+def shortlist(features: DataFrame, items: DataFrame, plays: DataFrame, k: int = S.SLATE) -> DataFrame:
+    """The scored candidates that can be in a slate of k, which may be far fewer than all; none that can is missing.
+
+    Of items with the same genres taste and penalty are the same for a request, whatever they are. So they differ only
+    by a part of the score that depends on the point in time, the arm and whether the user is new, not on the request;
+    at most the k best by it, behind those that the request leaves out, can be chosen. These few items for each list of
+    genres meet the requests: the grid of users and items is never built.
+    """
+    most = k + S.RECENT
+    kinds = ["as_of", "variant", "cold"]
+    known = features.withColumn("cold", F.col("event_count") == 0)
+    # A row for each point in time, arm and kind of user in the batch.
+    wide = items.join(known.select(*kinds).distinct().hint("broadcast")).join(plays.select("as_of", "item_id", "plays", "popularity"), ["as_of", "item_id"], "left")
+    part = _blend(F.when(F.col("cold"), _cold()).otherwise(S.POPULARITY_SHARE * F.coalesce("popularity", F.lit(0.0))))
+    wide = wide.withColumn("part", part)
+    group = [*kinds, "genres"]
+    best = Window.partitionBy(*group).orderBy(F.desc("part"), "item_id")
+    last = wide.select(*group, "item_id", "part").withColumn("n", F.row_number().over(best)).filter(F.col("n") <= most)
+    least = last.filter(F.col("n") == most).select(*group, (F.col("part") - MARGIN).alias("least"))
+    # Of items that are alike in this part, too, only the first by name can be chosen.
+    alike = Window.partitionBy(*group, "part").orderBy("item_id")
+    kept = wide.join(least, group, "left").filter("least is null or part >= least").withColumn("n", F.row_number().over(alike)).filter(F.col("n") <= most)
+    kept = kept.drop("part", "least", "n")
+    met = spread(known, "request_id").join(small(kept), kinds).filter(~F.array_contains("recent_items", F.col("item_id"))).drop("cold")
+    return scored(met)
 
 
 def reasons() -> Column:
@@ -128,15 +169,16 @@ def recommend(requests: DataFrame, events: DataFrame, items: DataFrame, k: int =
     learned, if given, has request_id, item_id, retrieval_score and rank_score of the candidates that a model retrieved
     for the requests it serves; there these rows replace the heuristic scores and candidates.
     """
-    known = user_features(requests, events, items)
-    known = known.withColumns(assign(F.col("user_id"), experiment, salt))
-    rows = score(candidates(known, items), popularity_scores(events, times_of(requests)))
-    rows = rows.withColumn("serving_mode", F.lit("heuristic"))
-    if learned is not None:
-        served = learned.select("request_id").distinct().withColumn("_served", F.lit(True))
+    known = user_features(requests, events, items).withColumns(assign(F.col("user_id"), experiment, salt))
+    plays = popularity_scores(events, times_of(requests))
+    if learned is None:
+        rows = shortlist(known, items, plays, k).withColumn("serving_mode", F.lit("heuristic"))
+    else:
+        served = learned.select("request_id").distinct()
         own = learned.select("request_id", "item_id", F.col("retrieval_score").alias("_r"), F.col("rank_score").alias("_k"))
-        rows = rows.join(served, "request_id", "left").join(own, ["request_id", "item_id"], "left").filter("_served is null or _r is not null")
-        rows = rows.withColumns({"retrieval_score": F.coalesce("_r", "retrieval_score"), "rank_score": F.coalesce("_k", "rank_score"), "serving_mode": F.when(F.col("_served"), F.lit("learned_challenger")).otherwise(F.col("serving_mode"))})
+        own = score(own.join(known, "request_id").join(small(items), "item_id"), plays).withColumns({"retrieval_score": F.col("_r"), "rank_score": F.col("_k")}).drop("_r", "_k")
+        rest = shortlist(known.join(served, "request_id", "left_anti"), items, plays, k)
+        rows = rest.withColumn("serving_mode", F.lit("heuristic")).unionByName(own.withColumn("serving_mode", F.lit("learned_challenger")))
     rows = rows.withColumn("reasons", reasons())
     slate = diverse_slate(rows.select("request_id", "item_id", "genres", "rank_score"), k)
     kept = ["request_id", "item_id", "user_id", "as_of", "title", "genres", "experiment", "variant", "bucket", "retrieval_score", "rank_score", "reasons", "serving_mode", "event_count"]

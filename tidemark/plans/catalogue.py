@@ -45,6 +45,13 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     return rk.score(rk.candidates(known, i), fe.popularity_scores(e, rk.times_of(r)))
 
 
+def shortlisted(spark: SparkSession, sf: str) -> DataFrame:
+    """What of `scored` can be in a slate."""
+    r, e, i = requests_and_features(spark, sf)
+    known = fe.user_features(r, e, i).withColumns(ex.assign(F.col("user_id")))
+    return rk.shortlist(known, i, fe.popularity_scores(e, rk.times_of(r)))
+
+
 # Sources and scans
 
 
@@ -53,9 +60,9 @@ def catalogue_scan(spark, sf):
     return ing.scan_items(v.items(spark, sf)).select("item_id", "title", F.array_join("genres", ",").alias("genres"), "year", "quality", "freshness")
 
 
-@query("SELECT item_id, title FROM v_items WHERE item_id = 'i042'")
+@query("SELECT item_id, title FROM v_items WHERE item_id = 'i000000042'")
 def item_lookup(spark, sf):
-    return ing.item(v.items(spark, sf), "i042").select("item_id", "title")
+    return ing.item(v.items(spark, sf), "i000000042").select("item_id", "title")
 
 
 @query(f"SELECT event_id, user_id, item_id, action, timestamp, watch_pct FROM v_events WHERE timestamp <= {v.MIDDLE}")
@@ -201,7 +208,7 @@ def heuristic_scores_challenger(spark, sf):
          SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(rank_score, 9) DESC, item_id) AS position FROM v_ranked) WHERE position <= 12"""
 )
 def topk_slate(spark, sf):
-    rows = rounded(scored(spark, sf).select("request_id", "item_id", "rank_score"), "rank_score")
+    rows = rounded(shortlisted(spark, sf).select("request_id", "item_id", "rank_score"), "rank_score")
     return rk.top_k(rows).select("request_id", "position", "item_id", "rank_score")
 
 
@@ -219,7 +226,7 @@ def _slates(table: str) -> str:
 
 @query("SELECT request_id, pos AS position, item_id, round(score, 9) AS score FROM v_step WHERE pos > 0", "v_rounded AS (SELECT request_id, item_id, genres, round(rank_score, 9) AS rank_score FROM v_ranked), " + _slates("v_rounded"))
 def greedy_slate(spark, sf):
-    rows = rounded(scored(spark, sf).select("request_id", "item_id", "genres", "rank_score"), "rank_score")
+    rows = rounded(shortlisted(spark, sf).select("request_id", "item_id", "genres", "rank_score"), "rank_score")
     return rounded(rk.diverse_slate(rows), "score")
 
 

@@ -14,7 +14,9 @@ EARLY, MIDDLE = 1704067200.0, 1705363200.0
 #: When the readout is taken, in seconds since the epoch.
 READOUT = 1706659200.0
 ALLOWED_LATENESS = 20 * 86400
-ITEMS = 100
+#: Events name this many items, the first ones of the catalogue; it has all parts.
+SEEN = 100
+DIGITS = 9
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,12 +24,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _item(key) -> F.Column:
-    return F.concat(F.lit("i"), F.lpad(key.cast("string"), 3, "0"))
+    return F.concat(F.lit("i"), F.lpad(key.cast("string"), DIGITS, "0"))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
-    return _read(spark, sf_dir, "part").filter(key < ITEMS).select(
+    return _read(spark, sf_dir, "part").select(
         _item(key).alias("item_id"),
         F.col("p_name").alias("title"),
         F.split("p_name", " ").alias("genres"),
@@ -66,20 +68,20 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = events(spark, sf_dir).filter("action = 'impression'").withColumns(assign(F.col("user_id")))
-    place = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: _item(((F.substring("item_id", 2, 3).cast("int") + i) % ITEMS))))
+    place = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: _item(((F.substring("item_id", 2, DIGITS).cast("int") + i) % SEEN))))
     rows = shown.select(F.col("event_id").alias("request_id"), "user_id", "experiment", "variant", "timestamp", place.alias("p", "item_id"))
     return rows.select("request_id", "user_id", "item_id", (F.col("p") + 1).cast("int").alias("position"), "experiment", "variant", F.lit(0.0).alias("score"), "timestamp")
 
 
 SQL = f"""
 v_items AS (
-  SELECT 'i' || lpad(CAST(p_partkey AS VARCHAR), 3, '0') AS item_id, p_name AS title, string_split(p_name, ' ') AS genres,
+  SELECT 'i' || lpad(CAST(p_partkey AS VARCHAR), {DIGITS}, '0') AS item_id, p_name AS title, string_split(p_name, ' ') AS genres,
          CAST(2021 + p_partkey % 6 AS INTEGER) AS year, p_size / 50.0::DOUBLE AS quality, ((p_partkey * 37) % 100) / 100.0::DOUBLE AS freshness
-  FROM part WHERE p_partkey < {ITEMS}),
+  FROM part),
 v_genres AS (SELECT item_id, len(genres) AS n_genres, unnest(genres) AS genre FROM v_items),
 v_events AS (
   SELECT 'e' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS event_id, 'u' || lpad(CAST(user_id AS VARCHAR), 7, '0') AS user_id,
-         'i' || lpad(json_extract_string(props, '$.k'), 3, '0') AS item_id,
+         'i' || lpad(json_extract_string(props, '$.k'), {DIGITS}, '0') AS item_id,
          CASE event_type WHEN 'view' THEN 'impression' WHEN 'click' THEN 'play' WHEN 'purchase' THEN 'complete'
                          WHEN 'signup' THEN 'like' WHEN 'error' THEN 'skip' END AS action,
          epoch_us(ts) / 1000000.0::DOUBLE AS timestamp, least(value, 100.0::DOUBLE) / 100.0::DOUBLE AS watch_pct, event_id AS seq
@@ -98,7 +100,7 @@ v_assigned AS (
   FROM (SELECT DISTINCT user_id FROM v_events) u),
 v_arms AS (SELECT *, CASE WHEN bucket < 5000 THEN 'challenger' ELSE 'control' END AS variant FROM v_assigned),
 v_exposures AS (
-  SELECT event_id AS request_id, user_id, 'i' || lpad(CAST((CAST(substr(item_id, 2, 3) AS INTEGER) + p) % {ITEMS} AS VARCHAR), 3, '0') AS item_id,
+  SELECT event_id AS request_id, user_id, 'i' || lpad(CAST((CAST(substr(item_id, 2, {DIGITS}) AS INTEGER) + p) % {SEEN} AS VARCHAR), {DIGITS}, '0') AS item_id,
          CAST(p + 1 AS INTEGER) AS position, variant, timestamp
   FROM v_events JOIN v_arms USING (user_id), (VALUES (0), (1), (2)) t(p) WHERE action = 'impression'),
 v_seen AS (SELECT r.request_id, r.as_of, e.* FROM v_requests r JOIN v_weighted e ON e.user_id = r.user_id AND e.timestamp <= r.as_of),

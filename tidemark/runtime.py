@@ -38,12 +38,14 @@ class Runtime:
     def loaded(self) -> serving.Loaded | None:
         return serving.Loaded(self.bundle.version, self.bundle.users, self.bundle.items) if self.bundle else None
 
-    def retrieve(self, allowed: DataFrame, k: int) -> DataFrame:
-        """request_id, item_id of the k items that the towers put first among the allowed (request_id, user_id, item_id)."""
+    def retrieve(self, known: DataFrame, items: DataFrame, k: int) -> DataFrame:
+        """request_id, item_id of the k items of the catalogue that the towers put first for each request, without its
+        recent ones; known has request_id, user_id and recent_items."""
         users = self.bundle.users.select("user_id", F.col("vector").alias("q"))
-        queries = allowed.select("request_id", "user_id").distinct().join(users, "user_id").select(F.col("request_id").alias("query_id"), "q")
-        items = self.bundle.items.select("item_id", F.col("vector").alias("v"), "bias")
-        return topk.exact_top_k(queries, items, k, allowed.select(F.col("request_id").alias("query_id"), "item_id")).select(F.col("query_id").alias("request_id"), "item_id")
+        queries = known.select(F.col("request_id").alias("query_id"), "user_id").join(users, "user_id").select("query_id", "q")
+        own = self.bundle.items.join(items.select("item_id"), "item_id", "left_semi").select("item_id", F.col("vector").alias("v"), "bias")
+        recent = known.select(F.col("request_id").alias("query_id"), F.array_distinct("recent_items").alias("items"))
+        return topk.top_k_without(queries, own, k, recent, S.RECENT).select(F.col("query_id").alias("request_id"), "item_id")
 
     def recommend(self, requests: DataFrame, events: DataFrame, items: DataFrame, k: int = S.SLATE, salt: str = ex.SALT, experiment: str = "ranker-v1") -> tuple[DataFrame, DataFrame]:
         """(slates, decisions) of all requests: learned where the model serves, by the heuristic elsewhere."""
@@ -53,8 +55,7 @@ class Runtime:
         if self.bundle:
             served = decisions.filter("mode = 'learned_challenger'").select("request_id", "user_id", "as_of")
             known = fe.user_features(served, events, items)
-            allowed = rk.candidates(known, items).select("request_id", "user_id", "item_id")
-            some = self.retrieve(allowed, max(LEAST_CANDIDATES, PER_PLACE * k)).join(served.select("request_id", "user_id"), "request_id")
+            some = self.retrieve(known, items, max(LEAST_CANDIDATES, PER_PLACE * k)).join(served.select("request_id", "user_id"), "request_id")
             learned = self.bundle.scores(some)
         slates = rk.recommend(requests, events, items, k, salt, experiment, learned)
         kept = decisions.select("request_id", "mode", F.col("model_version"), "fallback_reason")

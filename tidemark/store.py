@@ -9,8 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark import schemas as S
+from tidemark.functions.events import unused
 from tidemark.operators import ingest as ing
 from tidemark.sources import files
+from tidemark.sources.tables import settle
+
+
+def numbered(rows: DataFrame, order: list[str], out: str, after: int = 0) -> DataFrame:
+    """rows with the column `out`: their places in the order, from after + 1 on.
+
+    The rows are sorted by ranges, each of which is numbered by itself behind the sizes of the ranges before; only these
+    sizes, one for each range, come together.
+    """
+    part, n, before = (unused(rows.columns, x) for x in ("part", "n", "before"))
+    ranged = settle(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    sizes = ranged.groupBy(part).agg(F.count("*").alias(n))
+    sizes = sizes.select(part, F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    own = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return ranged.withColumn(n, own).join(F.broadcast(sizes), part).withColumn(out, (F.col(n) + F.col(before) + after).cast("long")).drop(part, n, before)
 
 
 class Store:
@@ -45,11 +61,11 @@ class Store:
         return self.log().select(S.EVENT_COLUMNS)
 
     def ingest(self, rows: DataFrame) -> ing.Ingested:
+        """Append what is new, numbered by (timestamp, event_id) behind the log's last offset."""
         fresh, counts = ing.ingest(self.events(), rows)
         if counts.accepted:
             last = self.log().agg(F.max("source_offset").alias("m")).first().m or 0
-            order = Window.orderBy("timestamp", "event_id")  # the rows of one ingested batch
-            fresh.select((F.row_number().over(order) + last).cast("long").alias("source_offset"), *S.EVENT_COLUMNS).write.mode("append").parquet(f"{self.root}/events")
+            numbered(fresh, ["timestamp", "event_id"], "source_offset", last).select("source_offset", *S.EVENT_COLUMNS).write.mode("append").parquet(f"{self.root}/events")
         return counts
 
     def exposures(self) -> DataFrame:
