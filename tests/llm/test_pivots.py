@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 
-from tidemark.llm import pivots
+from tidemark.llm import common, pivots
 
 
 def brute(rows):
@@ -44,7 +44,7 @@ SCHEMA = "vec_id long, embedding array<double>, label int"
 def test_links(spark, monkeypatch):
     monkeypatch.setattr(pivots, "BLOCK", 16)
     monkeypatch.setattr(pivots, "LIST", 20)
-    monkeypatch.setattr(pivots, "GROUP", 2)
+    monkeypatch.setattr(common, "GROUP", 2)
     rows = data()
     got = pivots.near_duplicates(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as copies", "2 as u").repartition(3)).collect()
     assert sorted((str(tuple(r)) for r in got)) == sorted(str(r) for r in brute(rows))

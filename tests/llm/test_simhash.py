@@ -4,7 +4,7 @@ import random
 import numpy as np
 import xxhash
 
-from tidemark.llm import simhash
+from tidemark.llm import common, simhash
 
 
 def brute_print(text):
@@ -160,6 +160,8 @@ def test_a_dense_group_and_blocks(spark, monkeypatch):
     rows += [(5000 + i, " ".join(rng.choices(vocabulary, k=120))) for i in range(50)]
     monkeypatch.setattr(simhash, "BLOCK", 16)
     monkeypatch.setattr(simhash, "GROUP", 3)
+    monkeypatch.setattr(simhash, "TEXTS", 30)
+    monkeypatch.setattr(common, "GROUP", 2)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = sorted(((r.doc_id, r.text) for r in simhash.near_texts(docs).collect()), key=str)
     assert got == brute_kept(rows)

@@ -5,11 +5,15 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.sources.tables import settle, work_dir
 
-__all__ = ["components", "frugal", "pieces", "settle", "star_links", "stored", "table", "unused", "work_dir"]
+__all__ = ["blocked", "components", "frugal", "meetings", "pieces", "settle", "star_links", "stored", "table", "unused", "work_dir"]
+
+
+#: Blocks of one key that meet the same copy of another.
+GROUP = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +96,23 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def blocked(rows: DataFrame, key: list[str], blocks: Column, *columns: str, by: str = "cls") -> DataFrame:
+    """(key, block, blocks, held): the rows of each key, dealt out to so many blocks as the aggregate `blocks` says."""
+    # Only keys with more rows than a block holds are looked up, so the table is small beside the rows.
+    large = stored(rows.groupBy(*key).agg(blocks.cast("int").alias("blocks")).filter("blocks > 1"), "large")
+    dealt = rows.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int"))
+    return dealt.groupBy(*key, "block").agg(F.max("blocks").alias("blocks"), F.collect_list(F.struct(*columns)).alias("held"))
+
+
+def meetings(blocks: DataFrame, key: list[str]) -> DataFrame:
+    """(key, left, right): each two different blocks of one key, once."""
+    cut = blocks.filter("blocks > 1")
+    groups = F.sequence(F.expr(f"block div {GROUP}"), F.expr(f"(blocks - 1) div {GROUP}"))
+    left = cut.select(*key, F.col("block").alias("own"), F.col("held").alias("left"), F.explode(groups).alias("part"))
+    return left.join(cut.select(*key, "block", F.expr(f"block div {GROUP}").alias("part"), F.col("held").alias("right")), [*key, "part"]).filter("own < block").select(*key, "left", "right")
+
+
 def star_links(i, j, n: int):
     """A spanning star for every component of the links i-j among n places, as arrays (place, root)."""
     import numpy as np

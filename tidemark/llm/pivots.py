@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import components, frugal, settle, star_links, stored
+from tidemark.llm.common import blocked, components, frugal, meetings, settle, star_links, stored
 from tidemark.llm.vectors import matrix, usable
 
 COSINE = 0.98
@@ -29,8 +29,8 @@ NEAREST, SHARED = 8, 2
 PIVOTS = (64, 4096)
 #: Pivots have a lower cosine than this with each other, and are chosen from so many times their number of vectors.
 APART, POOL = 0.9, 4
-#: Postings and vectors in a block, and blocks that meet the same copy of another.
-LIST, BLOCK, GROUP = 4096, 1024, 64
+#: Postings and vectors in a block.
+LIST, BLOCK = 4096, 1024
 #: Signs in a sketch (two words), and the seed of their projections.
 SIGNS, SEED = 128, 42
 
@@ -118,23 +118,6 @@ def post(vectors: DataFrame, pivots: list[list[float]], nearest: int = NEAREST)
     return vectors.select("cls", "label", "vector").mapInArrow(frugal(run), f"label {kind}, dim int, pivot int, cls long, pivots binary, sketch binary")
 
 
-def blocked(rows: DataFrame, key: list[str], size: int, *columns: str) -> DataFrame:
-    """(key, block, blocks, held): the rows of each key, about `size` to a block."""
-    # Only keys with more rows than a block holds are looked up, so the table is small beside the rows.
-    large = stored(rows.groupBy(*key).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")).filter("blocks > 1"), "large")
-    dealt = rows.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    return dealt.groupBy(*key, "block").agg(F.max("blocks").alias("blocks"), F.collect_list(F.struct(*columns)).alias("held"))
-
-
-def meetings(blocks: DataFrame, key: list[str]) -> DataFrame:
-    """(key, left, right): each two different blocks of one key, once."""
-    cut = blocks.filter("blocks > 1")
-    groups = F.sequence(F.expr(f"block div {GROUP}"), F.expr(f"(blocks - 1) div {GROUP}"))
-    left = cut.select(*key, F.col("block").alias("own"), F.col("held").alias("left"), F.explode(groups).alias("part"))
-    return left.join(cut.select(*key, "block", F.expr(f"block div {GROUP}").alias("part"), F.col("held").alias("right")), [*key, "part"]).filter("own < block").select(*key, "left", "right")
-
-
 def compare(pivot: int, a: dict, b: dict | None, radius: int, shared: int):
     """Places (i, j) of the candidates among two blocks of one inverted list, or within one, found in no other list."""
     import numpy as np
@@ -174,7 +157,7 @@ def candidates(classes: DataFrame, pivots: list[list[float]], cosine: float = CO
     """(u, v): spanning stars of the classes that are candidates of each other, for each pair of blocks."""
     posted = stored(post(classes, pivots), "postings")
     key, radius = ["label", "dim", "pivot"], reach(cosine)
-    blocks = stored(blocked(posted, key, LIST, "cls", "pivots", "sketch"), "lists")
+    blocks = stored(blocked(posted, key, F.ceil(F.count("*") / LIST), "cls", "pivots", "sketch"), "lists")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -209,7 +192,7 @@ def near_vectors(classes: DataFrame, groups: DataFrame, cosine: float = COSINE)
     classes has cls, vector and copies; groups (node, root) says which of them may be near, all else is far apart.
     """
     rows = groups.select(F.col("node").alias("cls"), "root").join(classes.select("cls", "copies", "vector"), "cls")
-    blocks = stored(blocked(rows, ["root"], BLOCK, "cls", "copies", "vector"), "groups")
+    blocks = stored(blocked(rows, ["root"], F.ceil(F.count("*") / BLOCK), "cls", "copies", "vector"), "groups")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np

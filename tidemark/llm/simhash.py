@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
-from tidemark.llm.common import components, frugal, pieces, settle, star_links, stored
+from tidemark.llm.common import blocked, components, frugal, meetings, pieces, settle, star_links, stored
 
 SEED = 42
 #: Fingerprints in a block, and blocks of one tile that meet the same copy of a neighbour.
@@ -27,6 +27,8 @@ WORDS, SHARED, OF = 5, 4, 5
 #: Bits of their fingerprints that may differ. At the least similarity 16 to 24 of 128 are expected to, of unrelated
 #: texts 64.
 REACH = 34
+#: Texts, and bytes of shingles, that are verified together.
+TEXTS, BYTES = 512, 8_000_000
 
 
 def fingerprint(text: str | None, k: int = 3) -> int:
@@ -80,7 +82,7 @@ def _near(radius: int) -> list[tuple[int, ...]]:
     return [s for s in steps if s >= (0, 0, 0, 0)]
 
 
-def meetings(rows: DataFrame, tile: list[str], steps: list[tuple[int, ...]], payload: Column, by: str) -> DataFrame:
+def tile_pairs(rows: DataFrame, tile: list[str], steps: list[tuple[int, ...]], payload: Column, by: str) -> DataFrame:
     """(left, right, same): the pairs of blocks in tiles that are one of `steps` apart, each once.
 
     rows has the whole numbers `tile`, the columns of payload and `by`, which deals a tile's rows out to its blocks.
@@ -106,7 +108,7 @@ def links(distinct: DataFrame, fp: str = "fp", radius: int = 3) -> DataFrame:
     """
     q = [f"q{i}" for i in range(4)]  # at most 17^4 = 83,521 tiles
     rows = distinct.filter(F.col(fp).isNotNull()).select(F.col(fp).alias("fp"), *(c.alias(n) for n, c in zip(q, _quarters(fp), strict=True)))
-    pairs = meetings(rows, q, _near(radius), F.col("fp"), "fp").select("left", "right")
+    pairs = tile_pairs(rows, q, _near(radius), F.col("fp"), "fp").select("left", "right")
 
     def compare(batches: Iterator) -> Iterator:
         import numpy as np
@@ -219,74 +221,98 @@ def _size_tiles(prints: DataFrame, shared: int, of: int, reach: int) -> tuple[Da
     return prints.select("*", size.cast("int").alias("s"), bits.cast("int").alias("p")), steps
 
 
-def candidates(prints: DataFrame, every: bool, shared: int = SHARED, of: int = OF, reach: int = REACH) -> DataFrame:
-    """(u, v), u > v: texts with different roots whose fingerprints differ by `reach` bits or fewer, from prints (cls,
-    n, a, b, root). If not every one of them is wanted, each text names its first and its nearest in a pair of blocks.
-    """
+def candidates(prints: DataFrame, shared: int = SHARED, of: int = OF, reach: int = REACH) -> DataFrame:
+    """(u, v): for each pair of blocks a spanning star of the texts whose fingerprints differ by `reach` bits or fewer,
+    from prints (cls, n, a, b). What is near is among what the stars join."""
     rows, steps = _size_tiles(prints, shared, of, reach)
-    pairs = meetings(rows, ["s", "p"], steps, F.struct("cls", "n", "a", "b", "root"), "cls")
+    pairs = tile_pairs(rows, ["s", "p"], steps, F.struct("cls", "n", "a", "b"), "cls")
 
     def compare(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        def load(held) -> dict:
-            by = np.argsort(np.asarray(held.field("cls")))
-            return {f: np.asarray(held.field(f))[by].view(np.uint64 if f in "ab" else np.int64) for f in ("cls", "n", "a", "b", "root")}
-
         for batch in batches:
-            u, v = [], []
+            found = []
             for left, right, same in zip(*(batch.column(c) for c in ("left", "right", "same")), strict=True):
-                x, same = load(left.values), same.as_py()
-                y = x if same else load(right.values)
-                nearest, near_at = np.full(len(y["cls"]), reach + 1, np.uint8), np.zeros(len(y["cls"]), np.int64)
-                first_at = np.full(len(y["cls"]), -1)
-                for at in range(0, len(x["cls"]), 128):
-                    part = slice(at, at + 128)
-                    far = np.bitwise_count(x["a"][part, None] ^ y["a"][None, :])
-                    far += np.bitwise_count(x["b"][part, None] ^ y["b"][None, :])
-                    i, j = np.nonzero(far <= reach)
-                    n, m = x["n"][part][i], y["n"][j]
-                    fit = (x["root"][part][i] != y["root"][j]) & (of * n >= shared * m) & (of * m >= shared * n)
-                    if not fit.any():
-                        continue
-                    i, j = i[fit], j[fit]
-                    if every:
-                        keep = i + at < j if same else slice(None)
-                        u.append(x["cls"][i[keep] + at])
-                        v.append(y["cls"][j[keep]])
-                        continue
-                    some = np.full(far.shape, 255, np.uint8)
-                    some[i, j] = far[i, j]
-                    # The rows of this strip, whose every partner in y is at hand.
-                    rows = np.unique(i)
-                    for cols in ((some[rows] < 255).argmax(1), some[rows].argmin(1)):
-                        u.append(x["cls"][rows + at])
-                        v.append(y["cls"][cols])
-                    if same:
-                        continue
-                    # The rows of y, whose partners come strip by strip, in ascending order.
-                    cols = np.unique(j)
-                    fresh = cols[first_at[cols] < 0]
-                    first_at[fresh] = (some[:, fresh] < 255).argmax(0) + at
-                    least, where = some[:, cols].min(0), some[:, cols].argmin(0) + at
-                    better = least < nearest[cols]
-                    nearest[cols[better]], near_at[cols[better]] = least[better], where[better]
-                known = np.flatnonzero(first_at >= 0)
-                for where in (first_at, near_at):
-                    u.append(y["cls"][known])
-                    v.append(x["cls"][where[known]])
-            if u:
-                u, v = np.concatenate(u), np.concatenate(v)
-                both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1) if len(u) else np.empty((2, 0), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
+                x = _loaded(left.values)
+                y = x if same.as_py() else _loaded(right.values)
+                i, j = _close(x, y, shared, of, reach)
+                if same.as_py():
+                    i, j = i[i < j], j[i < j]
+                if len(i):
+                    ids, at = np.unique(np.concatenate([x["cls"], y["cls"]]), return_inverse=True)
+                    place, root = star_links(at[: len(x["cls"])][i], at[len(x["cls"]) :][j], len(ids))
+                    found.append(np.stack([ids[place], ids[root]]))
+            if found:
+                uv = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(uv[0]), pa.array(uv[1])], names=["u", "v"])
+
+    return pairs.mapInArrow(frugal(compare), "u long, v long")
+
+
+def _loaded(held) -> dict:
+    import numpy as np
+
+    return {f: np.asarray(held.field(f)).view(np.uint64 if f in "ab" else np.int64) for f in ("cls", "n", "a", "b")}
 
-    return pairs.mapInArrow(frugal(compare), "u long, v long").distinct()
 
+def _close(x: dict, y: dict, shared: int, of: int, reach: int):
+    """Places (i, j) of the texts of two blocks whose fingerprints and sizes are within reach."""
+    import numpy as np
+
+    found = []
+    for at in range(0, len(x["cls"]), 128):
+        part = slice(at, at + 128)
+        far = np.bitwise_count(x["a"][part, None] ^ y["a"][None, :])
+        far += np.bitwise_count(x["b"][part, None] ^ y["b"][None, :])
+        i, j = np.nonzero(far <= reach)
+        n, m = x["n"][part][i], y["n"][j]
+        fit = (of * n >= shared * m) & (of * m >= shared * n)
+        found.append((i[fit] + at, j[fit]))
+    return (np.concatenate(z) for z in zip(*found, strict=True))
+
+
+def similar(x: list, y: list, i, j, n: int, shared: int, of: int):
+    """Roots of n texts, x and then y, that the similar ones of the pairs (x[i], y[j]) join; x and y are hashes.
+
+    Shingles that two texts have are bits of their rows, so what a text shares with many is counted at once; pairs that
+    are joined already aren't looked at.
+    """
+    import numpy as np
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int = WORDS, shared: int = SHARED, of: int = OF) -> DataFrame:
-    """The pairs (u, v) whose texts (cls, text) share `shared` of `of` of their distinct shingles, or have none."""
-    ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct(), "asked")
+    sets = x if y is x else [*x, *y]
+    offset = 0 if y is x else len(x)
+    size = np.array([len(s) for s in sets])
+    hashes, code, count = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    owner = np.repeat(np.arange(len(sets)), size)
+    keep = count[code] > 1
+    owner, code = owner[keep], number[code[keep]]
+    rows = np.zeros((len(sets), int((count > 1).sum()) // 64 + 1), np.uint64)
+    np.bitwise_or.at(rows, (owner, code // 64), np.uint64(1) << (code % 64).astype(np.uint64))
+    root = np.arange(n)
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order] + offset
+    cut = np.append(np.flatnonzero(np.diff(i, prepend=-1)), len(i))
+    for first, stop in zip(cut[:-1], cut[1:], strict=True):
+        one, others = i[first], j[first:stop]
+        others = others[root[others] != root[one]]
+        for at in range(0, len(others), 64):
+            some = others[at : at + 64]
+            both = np.bitwise_count(rows[one] & rows[some]).sum(1, dtype=np.int64)
+            near = some[of * both >= shared * (size[one] + size[some] - both)]
+            if len(near):
+                joined = np.append(root[near], root[one])
+                root[np.isin(root, joined)] = joined.min()
+    return root
+
+
+def verified(groups: DataFrame, prints: DataFrame, texts: DataFrame, k: int = WORDS, shared: int = SHARED, of: int = OF, reach: int = REACH) -> DataFrame:
+    """(u, v): spanning stars of the texts that share `shared` of `of` of their distinct shingles, or have none.
+
+    groups (node, root) says which texts may be near. Each sends its shingles once to its group, whose blocks meet two
+    at a time; pairs within reach are verified there, so no pair is ever a row.
+    """
 
     def hashed(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -295,23 +321,40 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int = WORDS, shared: int = S
             found = [shingle_hashes(t, k).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(found, pa.binary())], names=["cls", "shingles"])
 
-    sets = stored(texts.join(ids, "cls", "left_semi").select("cls", "text").mapInArrow(frugal(hashed), "cls long, shingles binary"), "shingles")
-    # The larger number of a pair comes first: what many pairs share is joined last, and isn't shuffled with them.
-    both = pairs.join(sets.select(F.col("cls").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("cls").alias("v"), F.col("shingles").alias("y")), "v")
+    members = groups.withColumnRenamed("node", "cls")
+    sets = texts.join(members, "cls", "left_semi").select("cls", "text").mapInArrow(frugal(hashed), "cls long, shingles binary")
+    rows = members.join(prints, "cls").join(sets, "cls")
+    count = F.greatest(F.ceil(F.count("*") / TEXTS), F.ceil(F.sum(F.octet_length("shingles").cast("long")) / BYTES))
+    blocks = stored(blocked(stored(rows, "members"), ["root"], count, "cls", "n", "a", "b", "shingles"), "near")
 
     def compare(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                a, b = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                common = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
-                keep.append(of * common >= shared * (len(a) + len(b) - common))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            u, v = [], []
+            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+                x = _loaded(left.values)
+                own = [np.frombuffer(z.as_buffer(), np.uint64) for z in left.values.field("shingles")]
+                if right.is_valid:
+                    y, other = _loaded(right.values), [np.frombuffer(z.as_buffer(), np.uint64) for z in right.values.field("shingles")]
+                    i, j = _close(x, y, shared, of, reach)
+                    cls = np.concatenate([x["cls"], y["cls"]])
+                else:
+                    i, j = _close(x, x, shared, of, reach)
+                    i, j, other, cls = i[i < j], j[i < j], own, x["cls"]
+                if not len(i):
+                    continue
+                root = similar(own, other, i, j, len(cls), shared, of)
+                place = np.flatnonzero(root != np.arange(len(cls)))
+                u.append(cls[place])
+                v.append(cls[root[place]])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
-    return both.select("u", "v", "x", "y").mapInArrow(frugal(compare), "u long, v long")
+    alone = blocks.select(F.col("held").alias("left"), F.lit(None).cast(blocks.schema["held"].dataType).alias("right"))
+    found = [w.select("left", "right").mapInArrow(frugal(compare), "u long, v long") for w in (alone, meetings(blocks, ["root"]))]
+    return found[0].unionByName(found[1])
 
 
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = WORDS, shared: int = SHARED, of: int = OF, reach: int = REACH) -> DataFrame:
@@ -320,8 +363,8 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
     Two texts are near if they share `shared` of `of` of their distinct shingles of k words, lower-cased; links of
     links are one group. Fingerprints of 128 bits, compared exactly in tiles, propose pairs, and the shingles decide;
     a pair within the similarity is proposed but for the rare one whose fingerprints differ by more than `reach`.
-    Equal texts become one class before anything is compared. Then each class names its first and its nearest
-    candidate, which joins dense groups by few pairs, and a second comparison takes every pair still apart.
+    Equal texts become one class before anything is compared. What hangs together by candidates is verified together,
+    in blocks that give spanning stars, so pairs are never listed.
 
     Defined cases: texts without words (null ones, too) are one group; rows without id are rows like any others;
     rows that share an id are told apart by their text; of rows with equal id and text the one with the smallest hash
@@ -336,12 +379,8 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
     reps = stored(reps.withColumn("cls", F.monotonically_increasing_id()), "texts")
     texts = reps.select("cls", F.coalesce(F.col("row").getField(text), F.lit("")).alias("text"))
     prints = settle(wide_prints(texts, k))
-    near = settle(verified(settle(candidates(prints.withColumn("root", F.col("cls")), False, shared, of, reach)), texts, k, shared, of))
-    roots = settle(components(near))
-    apart = settle(prints.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
-    more = settle(verified(settle(candidates(apart, True, shared, of, reach)), texts, k, shared, of))
-    if not more.isEmpty():
-        roots = settle(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)))
+    groups = stored(components(candidates(prints, shared, of, reach)), "candidates")
+    roots = components(verified(groups, prints, texts, k, shared, of, reach))
     member = reps.select("cls", F.struct(F.col("row").getField(id_col).isNull().alias("lost"), F.col("row").getField(id_col).alias("id"), "key", "cls").alias("order"))
     grouped = member.join(roots, member.cls == roots.node).select("cls", "root", "order")
     first = grouped.groupBy("root").agg(F.min("order")["cls"].alias("first"))
