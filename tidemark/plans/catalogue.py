@@ -120,6 +120,60 @@ def store_stats(spark, sf):
     return ing.stats(v.items(spark, sf), v.events(spark, sf), v.exposures(spark, sf))
 
 
+@query("SELECT request_id, item_id, position, timestamp FROM v_exposures")
+def exposure_scan(spark, sf):
+    x = v.exposures(spark, sf)
+    other = x.limit(5).withColumn("experiment", F.lit("another"))
+    return ing.scan_exposures(x.unionByName(other), "ranker-v1").select("request_id", "item_id", "position", "timestamp")
+
+
+@query("SELECT event_id, item_id, action, timestamp FROM v_events WHERE user_id = (SELECT min(user_id) FROM v_events)")
+def user_scan(spark, sf):
+    e = v.events(spark, sf)
+    return ing.scan(e, user_id=e.agg(F.min("user_id")).first()[0], ordered=False).select("event_id", "item_id", "action", "timestamp")
+
+
+@query("SELECT event_id, user_id, item_id, action, timestamp, watch_pct FROM v_events WHERE action IN ('like', 'play')")
+def jsonl_round_trip(spark, sf):
+    """Events appended to a folder of JSON lines in two parts, and read back."""
+    from tidemark.sources import jsonl
+    from tidemark.sources.tables import work_dir
+
+    path, e = work_dir(spark, "lines"), v.events(spark, sf).drop("seq")
+    for action in ("like", "play"):
+        jsonl.append(e.filter(F.col("action") == action), path)
+    return jsonl.read(spark, path, S.EVENTS)
+
+
+@query("SELECT count(*) AS events, 'none' AS missing FROM v_events")
+def snapshot_round_trip(spark, sf):
+    """A JSON snapshot written twice and read, and the default of one that isn't there."""
+    from tidemark.sources import files
+    from tidemark.sources.tables import work_dir
+
+    path = work_dir(spark, "snapshot")
+    for n in (0, v.events(spark, sf).count()):
+        files.write_json(spark, f"{path}/state.json", {"events": n})
+    return spark.createDataFrame([(files.read_json(spark, f"{path}/state.json")["events"], files.read_json(spark, f"{path}/other.json", "none"))], "events long, missing string")
+
+
+@query("SELECT request_id, item_id, position, CAST(NULL AS VARCHAR) AS model_version, 'heuristic' AS serving_mode FROM v_exposures")
+def schema_migration(spark, sf):
+    """Exposures of before there were models, in today's columns."""
+    return ing.add_missing(v.exposures(spark, sf), S.EXPOSURES).select("request_id", "item_id", "position", "model_version", "serving_mode")
+
+
+@query(
+    """SELECT round(1 / (1 + exp(-x)), 9) AS sigmoid, round(ln(1 + exp(-abs(x))) + greatest(x, 0), 9) AS softplus, count(*) AS n
+       FROM (SELECT watch_pct * 40 - 20 AS x FROM v_events) GROUP BY ALL"""
+)
+def sigmoid_softplus(spark, sf):
+    from tidemark.functions import events as fn
+
+    x = v.events(spark, sf).select((F.col("watch_pct") * 40 - 20).alias("x"))
+    return x.select(F.round(fn.sigmoid(F.col("x")), 9).alias("sigmoid"), F.round(fn.softplus(F.col("x")), 9).alias("softplus")).groupBy("sigmoid", "softplus").agg(F.count("*").alias("n"))
+
+
 # Point-in-time features
 
 
@@ -391,6 +445,46 @@ def lake_run(spark, sf):
     return m.silver().select("event_id", "repaired")
 
 
+def _medallion(spark, sf, batches: int):
+    from tidemark.sources.tables import work_dir
+    from tidemark.streaming.medallion import Medallion
+
+    log = v.log(spark, sf)
+    m = Medallion(spark, work_dir(spark, "lake"), v.items(spark, sf), v.ALLOWED_LATENESS)
+    m.run_all(log, -(-log.count() // batches))
+    return m
+
+
+@query(
+    """SELECT count(*) AS bronze_events, count(*) FILTER (timestamp >= watermark) AS silver_events, count(*) FILTER (timestamp < watermark) AS late_events,
+              max(source_offset) AS source_offset, max(timestamp) AS max_event_time, max(timestamp) - 1728000.0::DOUBLE AS watermark FROM v_marked""",
+    LAKE,
+)
+def lake_metrics(spark, sf):
+    """Counts and the carry of the lake after two batches."""
+    found = _medallion(spark, sf, 2).metrics()
+    names = ["bronze_events", "silver_events", "late_events", "source_offset", "max_event_time", "watermark"]
+    return spark.createDataFrame([tuple(found[n] for n in names)], "bronze_events long, silver_events long, late_events long, source_offset long, max_event_time double, watermark double")
+
+
+@query("SELECT source_offset, event_id FROM v_log")
+def lake_bronze(spark, sf):
+    """Bronze after its last batch has come a second time."""
+    m = _medallion(spark, sf, 2)
+    m.process(v.log(spark, sf).filter("source_offset > 5"), m.carry()["batch"])
+    return m.bronze().select("source_offset", "event_id")
+
+
+@query(
+    """SELECT sha256(concat_ws(':', CAST(count(*) AS VARCHAR), CAST(sum(a) AS VARCHAR), CAST(sum(b) AS VARCHAR), CAST(sum(c) AS VARCHAR), CAST(sum(d) AS VARCHAR))) AS sha256 FROM (
+         SELECT ('0x' || substr(h, 1, 16))::UBIGINT AS a, ('0x' || substr(h, 17, 16))::UBIGINT AS b, ('0x' || substr(h, 33, 16))::UBIGINT AS c, ('0x' || substr(h, 49, 16))::UBIGINT AS d
+         FROM (SELECT sha256(concat_ws(chr(9), user_id, genre, CAST(CAST(affinity AS DECIMAL(24,6)) AS VARCHAR))) AS h FROM v_gold))""",
+    LAKE,
+)
+def gold_digest(spark, sf):
+    return spark.createDataFrame([(lake.digest(lake.gold(v.events(spark, sf), v.items(spark, sf))),)], "sha256 string")
+
+
 @query("SELECT event_id, user_id, item_id, action, round(timestamp, 3) AS timestamp, watch_pct FROM v_events WHERE action <> 'skip'")
 def wire_parse(spark, sf):
     """Events through their wire form: JSON with RFC 3339 times, of which one action is made invalid."""
@@ -513,6 +607,71 @@ def coverage_diversity_novelty(spark, sf):
     return rounded(metrics.evaluate(_baselines(spark, sf), s, i).drop("recall", "ndcg", "mrr"), "coverage", "diversity", "novelty")
 
 
+#: Factors and weights of a model that is made up, so that SQL can follow what serving computes.
+LEARNED = SPLIT + """,
+v_users3 AS (SELECT user_id, [(n % 7) / 7.0::DOUBLE, (n % 11) / 11.0::DOUBLE, (n % 13) / 13.0::DOUBLE] AS v FROM (SELECT DISTINCT user_id, CAST(substr(user_id, 2) AS BIGINT) AS n FROM v_events)),
+v_items3 AS (SELECT item_id, [(n % 5) / 5.0::DOUBLE, (n % 3) / 3.0::DOUBLE, (n % 17) / 17.0::DOUBLE] AS v, (n % 4) / 10.0::DOUBLE AS bias FROM (SELECT item_id, CAST(substr(item_id, 2) AS BIGINT) AS n FROM v_items)),
+v_pair AS (SELECT user_id, item_id FROM v_split WHERE role = 'test'),
+v_fit AS (SELECT p.user_id, p.item_id, sum(coalesce(t.taste, 0)) / max(c.n) AS taste_match FROM v_pair p
+  JOIN (SELECT item_id, genre, count(*) OVER (PARTITION BY item_id) AS n FROM v_ig) c USING (item_id)
+  LEFT JOIN v_tastes t ON t.user_id = p.user_id AND t.genre = c.genre GROUP BY ALL),
+v_six AS (SELECT user_id, item_id, list_inner_product(u.v, i.v) + bias AS retrieval_score, quality, freshness, popularity, taste_match FROM v_fit
+  JOIN v_users3 u USING (user_id) JOIN v_items3 i USING (item_id) JOIN v_items USING (item_id) JOIN v_tp USING (item_id)),
+v_learned AS (SELECT *, 0.3::DOUBLE / (1 + exp(-(0.1 + 0.5 * (retrieval_score - 0.8) / 0.4 - 0.2 * (quality - 0.5) / 0.3 + 0.3 * (freshness - 0.5) / 0.3 + 0.4 * (popularity - 0.6) / 0.2
+    + 0.7 * (taste_match - 0.1) / 0.1 + 0.25 * (quality * retrieval_score - 0.4) / 0.35))) + 0.7::DOUBLE * (0.55::DOUBLE * taste_match + 0.25::DOUBLE * quality + 0.20::DOUBLE * freshness) AS rank_score FROM v_six)"""
+
+
+def _fixed_bundle(spark, sf):
+    """The made-up model: its factors follow from the numbers in the names."""
+    from tidemark.ml.ranker import Ranker
+    from tidemark.ml.training import Bundle
+
+    s, i = _split(spark, sf), v.items(spark, sf)
+    n = lambda c: F.substring(c, 2, 20).cast("long")
+    part = lambda c, *by: F.array(*((n(c) % b / F.lit(float(b))) for b in by))
+    users = v.events(spark, sf).select("user_id").distinct().select("user_id", part("user_id", 7, 11, 13).alias("vector"))
+    own = i.select("item_id", part("item_id", 5, 3, 17).alias("vector"), (n("item_id") % 4 / F.lit(10.0)).alias("bias"), "quality", "freshness", "genres").join(sp.train_popularity(s, i).select("item_id", "popularity"), "item_id")
+    ranker = Ranker([0.5, -0.2, 0.3, 0.4, 0.7, 0.25], 0.1, [0.8, 0.5, 0.5, 0.6, 0.1, 0.4], [0.4, 0.3, 0.3, 0.2, 0.1, 0.35], 0.3)
+    return Bundle("fixed", users, own, sp.taste_vectors(s, i), ranker), s
+
+
+@query("SELECT user_id, item_id, round(retrieval_score, 9) AS retrieval_score, round(popularity, 9) AS popularity, round(taste_match, 9) AS taste_match, round(quality * retrieval_score, 9) AS quality_x_retrieval FROM v_six", LEARNED)
+def learned_features(spark, sf):
+    from tidemark.ml import ranker
+
+    model, s = _fixed_bundle(spark, sf)
+    rows = ranker.features(s.filter("role = 'test'").select("user_id", "item_id"), model.users, model.items, model.tastes)
+    return rounded(rows.select("user_id", "item_id", "retrieval_score", "popularity", "taste_match", "quality_x_retrieval"), "retrieval_score", "popularity", "taste_match", "quality_x_retrieval")
+
+
+@query("SELECT user_id, item_id, round(retrieval_score, 9) AS retrieval_score, round(rank_score, 9) AS rank_score FROM v_learned", LEARNED)
+def learned_scores(spark, sf):
+    """The model's scores after it has been saved and loaded."""
+    from tidemark.ml.training import Bundle
+    from tidemark.sources.tables import work_dir
+
+    model, s = _fixed_bundle(spark, sf)
+    path = work_dir(spark, "bundle")
+    model.save(path)
+    rows = Bundle.load(spark, path).scores(s.filter("role = 'test'").select("user_id", "item_id"))
+    return rounded(rows, "retrieval_score", "rank_score")
+
+
+@query(
+    """SELECT request_id, item_id FROM (
+         SELECT r.request_id, i.item_id, row_number() OVER (PARTITION BY r.request_id ORDER BY round(list_inner_product(u.v, i.v) + bias, 10) DESC, i.item_id) AS rank
+         FROM v_requests r JOIN v_users3 u USING (user_id), v_items3 i
+         WHERE NOT EXISTS (SELECT 1 FROM v_recent c WHERE c.request_id = r.request_id AND c.item_id = i.item_id)) WHERE rank <= 20""",
+    LEARNED,
+)
+def learned_retrieval(spark, sf):
+    """The 20 items that the model's towers put first for each request, without its recent ones."""
+    from tidemark.runtime import Runtime
+
+    r, e, i = requests_and_features(spark, sf)
+    return Runtime(_fixed_bundle(spark, sf)[0]).retrieve(fe.user_features(r, e, i), i, 20)
+
+
 @query()
 def four_way_evaluation(spark, sf):
     """Popularity, heuristic, two-tower retrieval and the learned ranker on the test items, after training."""
@@ -576,6 +735,21 @@ def serving_decisions(spark, sf):
     return rows.select("request_id", "mode", "fallback_reason")
 
 
+@query(
+    """SELECT mode, count(*) AS n FROM (SELECT CASE WHEN variant <> 'challenger' THEN 'heuristic_control' WHEN NOT known THEN 'heuristic_fallback' ELSE 'learned_challenger' END AS mode
+       FROM (SELECT request_id, variant, EXISTS (SELECT 1 FROM v_good g WHERE g.user_id = r.user_id) AS known FROM v_requests r JOIN v_arms USING (user_id))) GROUP BY ALL""",
+    f"v_good AS (SELECT DISTINCT user_id FROM v_events WHERE action = 'like' AND timestamp <= {v.MIDDLE})",
+)
+def serving_modes(spark, sf):
+    return latency.by_mode(serving_decisions(spark, sf))
+
+
+@query("SELECT true AS same, (SELECT count(*) FROM v_items WHERE quality >= 0.5) = (SELECT count(*) FROM v_items) AS part")
+def catalogue_equality(spark, sf):
+    i = v.items(spark, sf)
+    return spark.createDataFrame([(serving.same_catalogue(i, i.orderBy("title")), serving.same_catalogue(i.filter("quality >= 0.5"), i))], "same boolean, part boolean")
+
+
 BUCKETS = ", ".join(f"({b}::DOUBLE)" for b in S.LATENCY_BUCKETS)
 
 
