@@ -186,6 +186,6 @@ def test_the_shortlist_loses_no_item_of_a_slate(spark):
     short = rk.shortlist(known, items, plays)
     assert short.count() < whole.count() / 2
     slate = lambda df: sorted(map(tuple, rk.diverse_slate(df.select("request_id", "item_id", "genres", "rank_score")).collect()))
-    assert slate(short) == slate(whole)
+    assert slate(short) == slate(whole) == sorted(map(tuple, rk.slates(known, items, plays).collect()))
     top = lambda df: sorted((r.request_id, r.position, r.item_id, r.rank_score) for r in rk.top_k(df).collect())
     assert top(short) == top(whole)

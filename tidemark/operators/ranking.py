@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark import schemas as S
 from tidemark.operators.experiments import assign
 from tidemark.operators.features import popularity_scores, small, spread, user_features
+from tidemark.sources.tables import settle
 
 
 def times_of(requests: DataFrame) -> list[float]:
@@ -74,8 +75,17 @@ def shortlist(features: DataFrame, items: DataFrame, plays: DataFrame, k: int =
     at most the k best by it, behind those that the request leaves out, can be chosen. These few items for each list of
     genres meet the requests: the grid of users and items is never built.
     """
-    most = k + S.RECENT
-    kinds = ["as_of", "variant", "cold"]
+    known, kept = _short(features, items, plays, k)
+    return scored(spread(known, "request_id").join(small(kept), KINDS).filter(~F.array_contains("recent_items", F.col("item_id"))).drop("cold"))
+
+
+#: What a request and the part of an item's score that doesn't depend on its taste have in common.
+KINDS = ["as_of", "variant", "cold"]
+
+
+def _short(features: DataFrame, items: DataFrame, plays: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(features with the columns KINDS, the items that can be chosen for each of their kinds)."""
+    most, kinds = k + S.RECENT, KINDS
     known = features.withColumn("cold", F.col("event_count") == 0)
     # A row for each point in time, arm and kind of user in the batch.
     wide = items.join(known.select(*kinds).distinct().hint("broadcast")).join(plays.select("as_of", "item_id", "plays", "popularity"), ["as_of", "item_id"], "left")
@@ -88,9 +98,70 @@ def shortlist(features: DataFrame, items: DataFrame, plays: DataFrame, k: int =
     # Of items that are alike in this part, too, only the first by name can be chosen.
     alike = Window.partitionBy(*group, "part").orderBy("item_id")
     kept = wide.join(least, group, "left").filter("least is null or part >= least").withColumn("n", F.row_number().over(alike)).filter(F.col("n") <= most)
-    kept = kept.drop("part", "least", "n")
-    met = spread(known, "request_id").join(small(kept), kinds).filter(~F.array_contains("recent_items", F.col("item_id"))).drop("cold")
-    return scored(met)
+    return known, kept.drop("part", "least", "n")
+
+
+def slates(features: DataFrame, items: DataFrame, plays: DataFrame, k: int = S.SLATE, penalty: float = S.DIVERSITY_PENALTY, places: int | None = None) -> DataFrame:
+    """request_id, position, item_id, score: diverse_slate of the shortlist of every request, without listing it.
+
+    Requests are dealt out to lanes of their kind, and each lane gets the items of its kind once. Taste is worked out
+    for each list of genres, so a request costs some steps over the short items. places, if given, rounds rank scores.
+    """
+    known, kept = _short(features, items, plays, k)
+    kept = settle(kept)
+    lanes = 4 * int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = [*KINDS, "lane"]
+    ask = known.select(*KINDS, F.pmod(F.xxhash64("request_id"), F.lit(lanes)).cast("int").alias("lane"), "request_id", F.map_keys("genre_affinity").alias("names"), F.map_values("genre_affinity").alias("values"), "recent_items")
+    held = kept.select(*(F.col(c).alias(c) for c in KINDS), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), "item_id", "genres", "quality", "freshness", F.coalesce("popularity", F.lit(0.0)).alias("popularity"))
+
+    def run(ask, held):
+        import numpy as np
+        import pyarrow as pa
+
+        out: list[list] = [[], [], [], []]
+        if ask.num_rows and held.num_rows:
+            held = held.sort_by("item_id")  # so that the first of equals is the smaller item
+            names, lists = held.column("item_id").to_pylist(), [tuple(g or ()) for g in held.column("genres").to_pylist()]
+            place = {n: i for i, n in enumerate(names)}
+            kinds = {g: i for i, g in enumerate(dict.fromkeys(lists))}
+            genres = {g: i for i, g in enumerate(dict.fromkeys(x for g in kinds for x in g))}
+            own = np.zeros((len(kinds), len(genres) + 1))
+            steps = np.full((len(kinds), max([1, *map(len, kinds)])), len(genres))  # the last genre is none
+            for g, i in kinds.items():
+                for j, x in enumerate(g):
+                    own[i, genres[x]] += 1
+                    steps[i, j] = genres[x]
+            each, kind = np.maximum(np.array([len(g) for g in kinds]), 1), np.array([kinds[g] for g in lists])
+            quality, fresh, popular = (held.column(c).to_numpy() for c in ("quality", "freshness", "popularity"))
+            cold, arm = held.column("cold")[0].as_py(), held.column("variant")[0].as_py()
+            r, q, f = S.CHALLENGER if arm == "challenger" else S.CONTROL
+            for request, keys, values, recent in zip(*(ask.column(c).to_pylist() for c in ("request_id", "names", "values", "recent_items")), strict=True):
+                affinity = np.zeros(len(genres) + 1)
+                for x, y in zip(keys or (), values or (), strict=True):
+                    if x in genres:
+                        affinity[genres[x]] = y
+                taste = np.zeros(len(kinds))
+                for j in range(steps.shape[1]):  # in the order of an item's genres
+                    taste = taste + affinity[steps[:, j]]
+                taste = taste / each
+                retrieval = S.COLD_QUALITY * quality + S.COLD_FRESHNESS * fresh if cold else S.TASTE_SHARE * taste[kind] + S.POPULARITY_SHARE * popular
+                rank = r * retrieval + q * quality
+                rank = rank + f * fresh if f else rank
+                rank = rank if places is None else np.round(rank, places)
+                rank[[place[x] for x in recent or () if x in place]] = -np.inf
+                count = np.zeros(len(genres) + 1)
+                for p in range(k):
+                    adjusted = rank - (penalty * ((own @ count) / each))[kind]
+                    best = int(np.argmax(adjusted))
+                    if adjusted[best] == -np.inf:
+                        break
+                    for column, value in zip(out, (request, p + 1, names[best], float(adjusted[best])), strict=True):
+                        column.append(value)
+                    rank[best] = -np.inf
+                    count += own[kind[best]]
+        return pa.table([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int32(), pa.string(), pa.float64()), strict=True)], names=["request_id", "position", "item_id", "score"])
+
+    return ask.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(run, "request_id string, position int, item_id string, score double")
 
 
 def reasons() -> Column:
@@ -169,24 +240,24 @@ def recommend(requests: DataFrame, events: DataFrame, items: DataFrame, k: int =
     learned, if given, has request_id, item_id, retrieval_score and rank_score of the candidates that a model retrieved
     for the requests it serves; there these rows replace the heuristic scores and candidates.
     """
-    known = user_features(requests, events, items).withColumns(assign(F.col("user_id"), experiment, salt))
-    plays = popularity_scores(events, times_of(requests))
-    if learned is None:
-        rows = shortlist(known, items, plays, k).withColumn("serving_mode", F.lit("heuristic"))
-    else:
-        served = learned.select("request_id").distinct()
+    # Settled: a row for each request, and for each item and point in time, that several steps below read.
+    known = settle(user_features(requests, events, items).withColumns(assign(F.col("user_id"), experiment, salt)))
+    plays = settle(popularity_scores(events, times_of(requests)))
+    rest = known if learned is None else known.join(learned.select("request_id").distinct(), "request_id", "left_anti")
+    chosen = settle(slates(rest, items, plays, k))
+    rows = score(chosen.select("request_id", "item_id").join(known, "request_id").join(small(items), "item_id"), plays).withColumn("serving_mode", F.lit("heuristic"))
+    if learned is not None:
         own = learned.select("request_id", "item_id", F.col("retrieval_score").alias("_r"), F.col("rank_score").alias("_k"))
         own = score(own.join(known, "request_id").join(small(items), "item_id"), plays).withColumns({"retrieval_score": F.col("_r"), "rank_score": F.col("_k")}).drop("_r", "_k")
-        rest = shortlist(known.join(served, "request_id", "left_anti"), items, plays, k)
-        rows = rest.withColumn("serving_mode", F.lit("heuristic")).unionByName(own.withColumn("serving_mode", F.lit("learned_challenger")))
+        chosen = chosen.unionByName(diverse_slate(own.select("request_id", "item_id", "genres", "rank_score"), k))
+        rows = rows.unionByName(own.withColumn("serving_mode", F.lit("learned_challenger")))
     rows = rows.withColumn("reasons", reasons())
-    slate = diverse_slate(rows.select("request_id", "item_id", "genres", "rank_score"), k)
     kept = ["request_id", "item_id", "user_id", "as_of", "title", "genres", "experiment", "variant", "bucket", "retrieval_score", "rank_score", "reasons", "serving_mode", "event_count"]
-    return slate.join(rows.select(kept), ["request_id", "item_id"])
+    return chosen.join(rows.select(kept), ["request_id", "item_id"])
 
 
-def exposures(slates: DataFrame, model_version: str | None = None) -> DataFrame:
+def exposures(shown: DataFrame, model_version: str | None = None) -> DataFrame:
     """The exposure log of slates."""
-    return slates.select(
+    return shown.select(
         "request_id", "user_id", "item_id", "position", "experiment", "variant", "score", F.col("as_of").alias("timestamp"), F.lit(model_version).cast("string").alias("model_version"), "serving_mode"
     )

@@ -280,8 +280,9 @@ def _slates(table: str) -> str:
 
 @query("SELECT request_id, pos AS position, item_id, round(score, 9) AS score FROM v_step WHERE pos > 0", "v_rounded AS (SELECT request_id, item_id, genres, round(rank_score, 9) AS rank_score FROM v_ranked), " + _slates("v_rounded"))
 def greedy_slate(spark, sf):
-    rows = rounded(shortlisted(spark, sf).select("request_id", "item_id", "genres", "rank_score"), "rank_score")
-    return rounded(rk.diverse_slate(rows), "score")
+    r, e, i = requests_and_features(spark, sf)
+    known = fe.user_features(r, e, i).withColumns(ex.assign(F.col("user_id")))
+    return rounded(rk.slates(known, i, fe.popularity_scores(e, rk.times_of(r)), places=PLACES), "score")
 
 
 REASONS = """
