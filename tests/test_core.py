@@ -189,3 +189,11 @@ def test_the_shortlist_loses_no_item_of_a_slate(spark):
     assert slate(short) == slate(whole) == sorted(map(tuple, rk.slates(known, items, plays).collect()))
     top = lambda df: sorted((r.request_id, r.position, r.item_id, r.rank_score) for r in rk.top_k(df).collect())
     assert top(short) == top(whole)
+
+
+def test_rounding_is_that_of_sql(spark):
+    import numpy as np
+
+    x = np.array([0.1234567895, 0.1234567885, -0.0000000005, 2.5e-9, 0.3, 1 / 3, 0.40667900049999, 7.0000000015])
+    want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 9)).collect()]
+    assert rk.half_up(x, 9).tolist() == want

@@ -101,6 +101,19 @@ def _short(features: DataFrame, items: DataFrame, plays: DataFrame, k: int) -> t
     return known, kept.drop("part", "least", "n")
 
 
+def half_up(x, places: int):
+    """An array rounded as SQL does: halves of the decimal digits that a number shows go up."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    import numpy as np
+
+    out, unit = np.round(x, places), Decimal(1).scaleb(-places)
+    scaled = np.abs(x) * 10.0**places
+    for i in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-3):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(unit, ROUND_HALF_UP))
+    return out
+
+
 def slates(features: DataFrame, items: DataFrame, plays: DataFrame, k: int = S.SLATE, penalty: float = S.DIVERSITY_PENALTY, places: int | None = None) -> DataFrame:
     """request_id, position, item_id, score: diverse_slate of the shortlist of every request, without listing it.
 
@@ -147,7 +160,7 @@ def slates(features: DataFrame, items: DataFrame, plays: DataFrame, k: int = S.S
                 retrieval = S.COLD_QUALITY * quality + S.COLD_FRESHNESS * fresh if cold else S.TASTE_SHARE * taste[kind] + S.POPULARITY_SHARE * popular
                 rank = r * retrieval + q * quality
                 rank = rank + f * fresh if f else rank
-                rank = rank if places is None else np.round(rank, places)
+                rank = rank if places is None else half_up(rank, places)
                 rank[[place[x] for x in recent or () if x in place]] = -np.inf
                 count = np.zeros(len(genres) + 1)
                 for p in range(k):
