@@ -48,3 +48,14 @@ def test_grid_is_score_of_all_candidates(spark, town):
     got = rk.grid(known, items, plays, {"each": each}).withColumn("why", F.col("each")[F.when(F.col("freshness") > rk.FRESH, 2).otherwise(0) + F.when(F.col("plays") > rk.TRENDING, 1).otherwise(0)])
     assert sorted(map(tuple, got.select(*columns, "why").collect())) == sorted(map(tuple, want.collect()))
     assert {tuple(r) for r in rk.candidates(known, items).select("request_id", "item_id").collect()} == {(r[0], r[1]) for r in want.collect()}
+
+
+def test_places_are_those_of_the_whole_grid(spark, town):
+    items, split = town
+    rows = sp.heuristic_scores(sp.evaluation_candidates(split, items), split, items).join(sp.train_popularity(split, items).select("item_id", "popularity"), "item_id")
+    rows = metrics.stack(rows.withColumns({c: F.round(c, 9) for c in ("heuristic", "popularity")}), {"popularity": "popularity", "heuristic": "heuristic"})
+    columns = ["model", "user_id", "item_id", "is_target", "rank"]
+    want = {tuple(r) for r in metrics.ranked(rows).filter("is_target or rank <= 5").select(columns).collect()}
+    assert {tuple(r) for r in sp.baseline_places(split, items).select(columns).collect()} == want
+    for model in ("popularity", "heuristic"):
+        assert {tuple(r) for r in sp.baseline_places(split, items, (model,)).select(columns).collect()} == {x for x in want if x[0] == model}
