@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.events import half_up
 from tidemark.ml import metrics, split as sp
-from tidemark.operators import features as fe, ranking as rk
+from tidemark.operators import features as fe, ranking as rk, topk
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +59,21 @@ def test_places_are_those_of_the_whole_grid(spark, town):
     assert {tuple(r) for r in sp.baseline_places(split, items).select(columns).collect()} == want
     for model in ("popularity", "heuristic"):
         assert {tuple(r) for r in sp.baseline_places(split, items, (model,)).select(columns).collect()} == {x for x in want if x[0] == model}
+
+
+def test_approximate_search_lists_no_pairs(spark, monkeypatch):
+    """The k best of all that share a bucket, found block by block: small blocks, so that buckets have several."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSHModel as Model
+
+    rng = random.Random(5)
+    items = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(6)], 0.1 * (k % 3)) for k in range(200)], "item_id long, v array<double>, bias double")
+    queries = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(6)]) for k in range(30)], "query_id long, q array<double>")
+    hashed, transform, blocked = [], Model.transform, topk._blocked
+    monkeypatch.setattr(Model, "transform", lambda self, df: hashed.append(transform(self, df)) or hashed[-1])
+    monkeypatch.setattr(topk, "_blocked", lambda q, i, k, by=(): blocked(q, i, k, 16, 8, by))
+    got = topk.approximate_top_k(queries, items, 10, tables=2)
+    assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+    keys = [h.select(n, F.posexplode("hashes").alias("t", "h")) for h, n in zip(hashed, ("query_id", "item_id"), strict=True)]
+    same = keys[0].join(keys[1], ["t", "h"]).select("query_id", "item_id").distinct()
+    assert 0 < same.count() < 6000
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, topk.exact_top_k(queries, items, 10, same).collect()))

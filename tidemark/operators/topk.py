@@ -35,13 +35,22 @@ def exact_top_k(queries: DataFrame, items: DataFrame, k: int, allowed: DataFrame
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "item_id", "score")
 
 
-def _blocked(queries: DataFrame, items: DataFrame, k: int, rows: int = 8192, asked: int = 1024) -> DataFrame:
-    n, m = items.count(), queries.count()
-    parts, groups = max(1, -(-n // rows)), max(1, -(-m // asked))
-    left = items.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("item_id", "v", "bias")).alias("items"))
-    right = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("group")).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
+def _blocked(queries: DataFrame, items: DataFrame, k: int, rows: int = 8192, asked: int = 1024, by: tuple[str, ...] = ()) -> DataFrame:
+    """The k best items for each query and pair of blocks; by has columns in which a query and its items have to agree."""
+    if by:  # buckets differ in size, so each has as many parts and groups as it needs
+        sizes = [df.groupBy(*by).agg(F.ceil(F.count("*") / n).cast("long").alias(name)) for df, n, name in ((items, rows, "_parts"), (queries, asked, "_groups"))]
+        # A projection is no longer than a vector, so a table has some 2 / length + 2 buckets, whatever the rows are.
+        both = F.broadcast(sizes[0].join(sizes[1], list(by)))
+        left, right = items.join(both, list(by)), queries.join(both, list(by))
+        parts, groups = F.col("_parts"), F.col("_groups")
+    else:
+        n, m = items.count(), queries.count()
+        left, right, parts, groups = items, queries, F.lit(max(1, -(-n // rows))), F.lit(max(1, -(-m // asked)))
+    left = left.withColumns({"_part": F.pmod(F.xxhash64("item_id"), parts), "_last": (groups - 1).cast("long")})
+    left = left.groupBy(*by, "_part").agg(F.collect_list(F.struct("item_id", "v", "bias")).alias("items"), F.first("_last").alias("_last"))
+    right = right.groupBy(*by, F.pmod(F.xxhash64("query_id"), groups).alias("group")).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
     # Every block of items goes to every block of queries once; a block of queries is the unit of work.
-    work = left.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))).join(right, "group")
+    work = left.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))).join(right, [*by, "group"])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -79,7 +88,7 @@ def approximate_top_k(queries: DataFrame, items: DataFrame, k: int, tables: int
     put what is near into one bucket. Recall is measured, not promised.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     square = dot(F.col("x"), F.col("x"))
     raised = items.withColumn("x", F.concat("v", F.array("bias"))).withColumn("s", square)
@@ -89,9 +98,12 @@ def approximate_top_k(queries: DataFrame, items: DataFrame, k: int, tables: int
     scale = F.lit(top**0.5) / F.sqrt(dot(F.col("x"), F.col("x")))
     unit = unit.withColumn("features", array_to_vector(F.concat(F.transform("x", lambda y: y * scale), F.array(F.lit(0.0)))))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=length * top**0.5, numHashTables=tables, seed=seed).fit(raised)
-    hashed = [model.transform(df).select(name, F.posexplode("hashes").alias("t", "h")) for df, name in ((unit, "query_id"), (raised, "item_id"))]
-    same = hashed[0].join(hashed[1], ["t", "h"]).select("query_id", "item_id").distinct()
-    return exact_top_k(queries, items, k, same)
+    # Blocks of the items of a bucket meet blocks of its queries: no pair is listed, only k rows for each query and block
+    # are. The k best of all that share a bucket are among the k best of each bucket.
+    asked, held = (model.transform(df).select(*kept, F.posexplode("hashes").alias("_t", "_h")).withColumn("_h", vector_to_array("_h")[0].cast("long")) for df, kept in ((unit, ["query_id", "q"]), (raised, ["item_id", "v", "bias"])))
+    found = _blocked(asked, held, k, by=("_t", "_h")).groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "item_id", "score")
 
 
 def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
