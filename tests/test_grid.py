@@ -77,3 +77,17 @@ def test_approximate_search_lists_no_pairs(spark, monkeypatch):
     same = keys[0].join(keys[1], ["t", "h"]).select("query_id", "item_id").distinct()
     assert 0 < same.count() < 6000
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, topk.exact_top_k(queries, items, 10, same).collect()))
+
+
+def test_retrieval_meets_equal_vectors_once(spark, monkeypatch):
+    items = spark.createDataFrame([(f"i{k:03d}", [float(k % 2), 1.0], 0.0) for k in range(120)], "item_id string, v array<double>, bias double")
+    queries = spark.createDataFrame([(f"q{k}", [1.0, float(k % 2)]) for k in range(9)], "query_id string, q array<double>")
+    out = spark.createDataFrame([("q0", ["i001", "i005", "i000"]), ("q1", [])], "query_id string, items array<string>")
+    met, exact = [], topk.exact_top_k
+    monkeypatch.setattr(topk, "exact_top_k", lambda q, i, k: met.append((q.count(), i.count())) or exact(q, i, k))
+    got = {}
+    for r in topk.top_k_without(queries, items, 4, out, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.item_id)
+    assert met == [(2, 14)]
+    assert got.pop("q0") == ["i003", "i007", "i009", "i011"]
+    assert len(got) == 8 and all(x == ["i001", "i003", "i005", "i007"] for x in got.values())

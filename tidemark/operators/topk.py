@@ -15,12 +15,22 @@ PLACES = 10
 def top_k_without(queries: DataFrame, items: DataFrame, k: int, left_out: DataFrame, most: int) -> DataFrame:
     """exact_top_k without the items that a query leaves out: left_out has query_id and items, an array of `most` or
     fewer. As many more are found as can be left out, so blocks are searched as they are, and no pair is listed."""
-    found = exact_top_k(queries, items, k + most).join(left_out.select("query_id", F.col("items").alias("_out")), "query_id", "left")
+    found = _distinct_top_k(queries, items, k + most).join(left_out.select("query_id", F.col("items").alias("_out")), "query_id", "left")
     found = found.filter(~F.coalesce(F.array_contains("_out", F.col("item_id")), F.lit(False))).drop("_out", "rank")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "item_id", "score")
 
 
+def _distinct_top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """exact_top_k, in which queries with the same vector are asked once, and of items with the same vector and bias,
+    which tie for every query, only the k first can be found."""
+    alike = Window.partitionBy("v", "bias").orderBy("item_id")
+    held = items.withColumn("_n", F.row_number().over(alike)).filter(F.col("_n") <= k).drop("_n")
+    asked = queries.groupBy("q").agg(F.min("query_id").alias("_first"))
+    found = exact_top_k(asked.select(F.col("_first").alias("query_id"), "q"), held, k).withColumnRenamed("query_id", "_first")
+    return queries.join(asked, "q").select("query_id", "_first").join(found, "_first").drop("_first")
+
+
 def exact_top_k(queries: DataFrame, items: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """query_id, rank, item_id, score: the k items with the highest q.v + bias, ties to the smaller item.
 
