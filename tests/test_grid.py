@@ -91,3 +91,25 @@ def test_retrieval_meets_equal_vectors_once(spark, monkeypatch):
     assert met == [(2, 14)]
     assert got.pop("q0") == ["i003", "i007", "i009", "i011"]
     assert len(got) == 8 and all(x == ["i001", "i003", "i005", "i007"] for x in got.values())
+
+
+def test_candidates_fold_up_on_disk(spark, town, tmp_path):
+    """The rows are as many as users times items; a row had taken some five bytes in a file."""
+    items = spark.range(20_000).select(F.format_string("i%09d", "id").alias("item_id"))
+    roles = [(f"u{u:07d}", f"i{(7 * u + k) % 90:09d}", float(k), "test" if k == 7 else "validation" if k == 6 else "train", 5.0) for u in range(200) for k in range(8)]
+    split = spark.createDataFrame(roles, "user_id string, item_id string, ts double, role string, cutoff double")
+    sp.evaluation_candidates(split, items).write.parquet(f"{tmp_path}/rows")
+    assert sum(f.stat().st_size for f in (tmp_path / "rows").glob("*.parquet")) < 1_500_000
+    got = spark.read.parquet(f"{tmp_path}/rows")
+    assert got.count() == got.distinct().count() == 200 * (20_000 - 7)
+    assert got.filter("is_target").count() == 200
+
+
+@pytest.mark.parametrize("target", ["test", "validation"])
+def test_candidates_are_all_items_but_the_known_ones(spark, town, target):
+    items, split = town
+    own, out = [r.item_id for r in items.collect()], {}
+    for r in split.collect():
+        out.setdefault(r.user_id, {})[r.item_id] = r.role
+    want = sorted((u, i, roles.get(i) == target) for u, roles in out.items() for i in own if roles.get(i) not in {"test": ("train", "validation"), "validation": ("train",)}[target])
+    assert sorted(map(tuple, sp.evaluation_candidates(split, items, target).collect())) == want
