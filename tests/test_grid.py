@@ -105,9 +105,10 @@ def test_candidates_fold_up_on_disk(spark, town, tmp_path):
     assert got.filter("is_target").count() == 200
 
 
-@pytest.mark.parametrize("target", ["test", "validation"])
-def test_candidates_are_all_items_but_the_known_ones(spark, town, target):
+@pytest.mark.parametrize(("target", "users"), [("test", 40_000), ("validation", 40_000), ("test", 5)])
+def test_candidates_are_all_items_but_the_known_ones(spark, town, monkeypatch, target, users):
     items, split = town
+    monkeypatch.setattr(sp, "USERS", users)
     own, out = [r.item_id for r in items.collect()], {}
     for r in split.collect():
         out.setdefault(r.user_id, {})[r.item_id] = r.role
