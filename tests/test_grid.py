@@ -61,6 +61,26 @@ def test_places_are_those_of_the_whole_grid(spark, town):
         assert {tuple(r) for r in sp.baseline_places(split, items, (model,)).select(columns).collect()} == {x for x in want if x[0] == model}
 
 
+def test_popularity_sends_no_catalogue_to_users(spark, town):
+    """Each lane of users had been sent the ids of all items in one group, which is one worker's memory."""
+    items, split = town
+    plan = sp.baseline_places(split, items, ("popularity",))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "Cartesian" not in plan
+
+
+def test_shared_places(spark):
+    """Ties, a user who knows the first ones, one who knows nothing, one who knows all, and a target that no item has."""
+    scores = spark.createDataFrame([(f"i{k:02d}", [0.5, 0.1, 0.5][k % 3]) for k in range(30)], "item_id string, score double")
+    users = spark.createDataFrame([("a", "i05", ["i00", "i02", "i09", "x"]), ("b", "i29", []), ("c", "gone", ["i00"]), ("d", "gone", [f"i{k:02d}" for k in range(30)])], "user_id string, target string, known array<string>")
+    order = [r.item_id for r in scores.orderBy(F.desc("score"), "item_id").collect()]
+    for k in (0, 5):
+        want = set()
+        for u, target, known in map(tuple, users.collect()):
+            own = [x for x in order if x not in known]
+            want |= {("m", u, x, x == target, n) for n, x in enumerate(own, 1) if n <= k or x == target}
+        assert {tuple(r) for r in metrics.shared_places(users, scores, "m", k).collect()} == want
+
+
 def test_approximate_search_lists_no_pairs(spark, monkeypatch):
     """The k best of all that share a bucket, found block by block: small blocks, so that buckets have several."""
     from pyspark.ml.feature import BucketedRandomProjectionLSHModel as Model
