@@ -134,3 +134,36 @@ def test_candidates_are_all_items_but_the_known_ones(spark, town, monkeypatch, t
         out.setdefault(r.user_id, {})[r.item_id] = r.role
     want = sorted((u, i, roles.get(i) == target) for u, roles in out.items() for i in own if roles.get(i) not in {"test": ("train", "validation"), "validation": ("train",)}[target])
     assert sorted(map(tuple, sp.evaluation_candidates(split, items, target).collect())) == want
+
+
+FOLDS = {
+    "candidates_anti_consumed": (["request_id", "item_id"], "true", 150_000, 30, 0.5),
+    "cold_start_scores": (["request_id", "item_id", "retrieval_score"], "event_count = 0", 12_000, 300, 0.35),
+    "heuristic_scores_challenger": (["request_id", "item_id", "plays", "retrieval_score", "rank_score"], "variant = 'challenger'", 12_000, 300, 0.9),
+    "heuristic_scores_control": (["request_id", "item_id", "plays", "retrieval_score", "rank_score"], "variant = 'control'", 12_000, 300, 0.6),
+    "reasons": (["request_id", "item_id", "reasons"], "true", 12_000, 300, 0.25),
+}
+
+
+@pytest.mark.parametrize("name", FOLDS)
+def test_grid_folds_up_on_disk(spark, tmp_path, name):
+    """Rows as many as requests times items: chunks of items meet the requests, so that a file's columns recur."""
+    columns, only, items_n, requests_n, most = FOLDS[name]
+    words = "abcdefgh"
+    items = spark.createDataFrame([(f"i{k:09d}", [words[k % 8], words[k // 8 % 8]], (k * 7 % 3) / 4, (k * 37 % 4) / 4) for k in range(items_n)], "item_id string, genres array<string>, quality double, freshness double")
+    rows = [(f"u{k:07d}@{k % 2}", float(k % 2), {w: ((k * 31 + n * 17) % 1009) / 1009 for n, w in enumerate(words)}, [f"i{x:09d}" for x in range(k, k + 12)], k % 3, "challenger" if k // 2 % 2 else "control") for k in range(requests_n)]
+    known = spark.createDataFrame(rows, "request_id string, as_of double, genre_affinity map<string,double>, recent_items array<string>, event_count long, variant string").filter(only)
+    plays = spark.createDataFrame([(t, f"i{k:09d}", k, 0.01 * k) for t in (0.0, 1.0) for k in range(1, 90, 3)], "as_of double, item_id string, plays long, popularity double")
+    each = F.array(*(F.array_join(rk.reasons(F.lit(f), F.lit(t)), ";") for f in (False, True) for t in (False, True)))
+    if name == "candidates_anti_consumed":
+        got = rk.candidates(known, items.select("item_id"))
+    else:
+        got = rk.grid(known, items, plays, {"each": each}).withColumn("reasons", F.col("each")[F.when(F.col("freshness") > rk.FRESH, 2).otherwise(0) + F.when(F.col("plays") > rk.TRENDING, 1).otherwise(0)])
+    # A catalogue that is sent to all tasks passes through the driver's memory, and puts all items beside one request.
+    assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    got.select(columns).write.parquet(f"{tmp_path}/rows")
+    size = sum(f.stat().st_size for f in (tmp_path / "rows").glob("*.parquet"))
+    got = spark.read.parquet(f"{tmp_path}/rows")
+    n = known.count() * (items_n - 12)
+    assert got.count() == got.select("request_id", "item_id").distinct().count() == n
+    assert size < n * most
